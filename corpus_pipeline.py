@@ -1,15 +1,67 @@
-"""Stages that turn raw documents into packed training sequences."""
+"""Stages that turn raw documents into packed training sequences.
+
+Each stage reads what the one before it kept and returns the columns of documents, the last one packed pieces.
+Between stages the rows are written as Parquet to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserine.llm import jaccard_join, mixing, packing, quality_model, secret_forest
+from tesserine.llm.common import stash, table
+
+
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    rated = quality_model.rated(docs, table(spark, sf_dir, "labels"))
+    return rated.where("kept").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of the n-gram Jaccard join; rows repeated under one doc_id are one document."""
+    groups = jaccard_join.join_components(docs)
+    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_times"))
+    out = docs.join(kept.hint("merge"), "doc_id")
+    once = out.where("_times = 1")
+    again = out.where("_times > 1").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null")
+    return once.union(again).select(*docs.columns).union(nameless)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets masked; n_chars follows the text."""
+    found = secret_forest.scanned(docs)
+    changed = F.size("findings") > 0
+    out = found.withColumn("n_chars", F.when(changed, F.char_length("clean_text").cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col("clean_text")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once; documents of small sources up to twice, as the temperature asks."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", reject_poor),
+    ("near_duplicates", one_of_each),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: SQL cannot express the trained models, the tokenizer and the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stash(docs, name)
     return docs

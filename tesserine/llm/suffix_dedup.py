@@ -208,6 +208,8 @@ def _snippets(length: int):
         row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(wanted).to_numpy())
         start, count = np.divmod(place.to_numpy(), 256)
         begin = offsets[row] + start
+        if (begin + count + length - 1 > offsets[row + 1]).any():
+            raise ValueError("documents has two texts under one doc_id")
         raw = data.tobytes()
         pieces = [raw[a:b] for a, b in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)]
         for i in range(0, len(pieces), 4096):
