@@ -192,7 +192,7 @@ def new_spans(batch: DataFrame, docs: DataFrame, index: FingerprintIndex, window
         both = mine
     # One row per distinct run: its first document ever, whether the batch has it, and whether a later document has it too.
     classes = both.groupBy("key", "snip").agg(
-        F.min(F.struct("doc_id", "place")).alias("first"), F.max("fresh").alias("fresh"), F.max("most").alias("most")
+        F.min(F.struct("doc_id", "place", "fresh")).alias("first"), F.max("fresh").alias("fresh"), F.max("most").alias("most")
     )
     per_key = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.max("fresh").alias("any_fresh"))
     copied = classes.where("most > first.doc_id").select("key", "snip", F.col("first.doc_id").alias("holder"))
@@ -201,7 +201,7 @@ def new_spans(batch: DataFrame, docs: DataFrame, index: FingerprintIndex, window
         .select("doc_id", F.expr("place div 256").alias("begin"), F.expr(f"place div 256 + place % 256 + {window - 1}").alias("end"))
     )
     several = per_key.where("kinds > 1 and any_fresh").select("key")
-    named = classes.join(several.hint("merge"), "key", "left_semi").select("key", "snip", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), "fresh")
+    named = classes.join(several.hint("merge"), "key", "left_semi").select("key", "snip", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), F.col("first.fresh").alias("fresh"))
     # A run that its first document holds twice is looked at in both places.
     again = found.join(named.where("fresh").select("key", "snip", "doc_id").hint("merge"), ["key", "snip", "doc_id"], "left_semi")
     wanted = named.select("key", "doc_id", "place", "fresh").union(again.select("key", "doc_id", "place", F.lit(True))).distinct()

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import anchors
 from .common import mapped, stash, texts_of
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 #: Classes under one key from which its runs are cut into windows.
 HOT = 20_000
 #: Bytes of representatives that one suffix array covers, at least; groups are never divided.
