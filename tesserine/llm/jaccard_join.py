@@ -5,12 +5,15 @@
    probability s, so a pair at the threshold 0.8 misses all 24 with probability 0.2**24 < 2e-17, the order of
    the shingle hashes' own collisions: no link is lost in practice. A meeting group that is hot (over `HOT`
    classes) is divided by the same minima once more, with the same odds.
-3. Star step: every member of a group is compared with the group's first one, exactly, on the sets. The links
-   give components; a group within one component is settled, however large it is.
+3. Star step: every member of a group is compared with the group's first one. The links give components; a
+   group within one component is settled, however large it is.
 4. Signature trees: in every group that still spans components a tree is built over the members in order of
    size. Nodes hold OR- and AND-combined token bitmaps and their size range; dual traversal of the tree against
    itself drops node pairs whose greatest possible overlap is below the threshold or that lie in one
-   component. Surviving pairs are compared exactly on the sets, and the components are closed again.
+   component. The components are closed again over what it adds.
+
+Pairs of both steps are compared exactly, on the whole sets, once they share at least `AGREE` of the 24 minima;
+a linked pair shares fewer with probability below 6e-11.
 
 Edges: null or blank texts: n_shingles 0, linked with nothing; fewer than five words: one shingle, the whole
 sequence; equal rows are copies; documents with a null doc_id are not linked; extra columns are ignored.
@@ -31,8 +34,10 @@ from .substring_dedup import word_hashes, word_places
 from .suffix_dedup import by_group
 
 WORDS, PERCENT = 5, 80
-BANDS = 24
-HOT = 2000
+BANDS, AGREE = 24, 5
+HOT = 256
+#: Documents to be fetched are looked up in place, without moving the texts, up to this number.
+FEW = 100_000
 #: Bits of a member's token bitmap.
 BITS = 1024
 LEAF = 16
@@ -77,9 +82,10 @@ def minima(tokens: np.ndarray, bands: int) -> np.ndarray:
 
 def _signed(words: int, bands: int):
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        size, one, two, least = [], [], [], []
+        size, one, two, least, bits = [], [], [], [], []
         for tokens in shingle_sets(batch.column("text"), words):
             size.append(len(tokens))
+            bits.append(bitmap(tokens).tobytes())
             if len(tokens):
                 one.append(int(np.bitwise_xor.reduce(anchors.mix(tokens)).view(np.int64)))
                 two.append(int(np.add.reduce(anchors.mix(tokens ^ np.uint64(0x1234567))).view(np.int64)))
@@ -87,8 +93,8 @@ def _signed(words: int, bands: int):
             else:
                 one.append(None), two.append(None), least.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(least, pa.list_(pa.int64()))],
-            ["doc_id", "size", "one", "two", "least"],
+            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+            ["doc_id", "size", "one", "two", "least", "bits"],
         )
 
     return sign
@@ -146,9 +152,10 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 class SignatureTree:
     """Members in order of size under nodes of two; a node's OR and AND bitmaps, size range and component (-1: several)."""
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray, comps: np.ndarray):
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, comps: np.ndarray, minima: np.ndarray | None = None):
         order = np.argsort(sizes, kind="stable")
         self.order, self.maps, self.sizes, self.comps = order, maps[order], sizes[order], comps[order]
+        self.minima = None if minima is None else minima[order]
         self.nodes: dict[tuple[int, int], tuple] = {}
         self.build(0, len(order))
 
@@ -189,9 +196,11 @@ class SignatureTree:
         s, t = self.sizes[a[0] : a[1], None], self.sizes[None, b[0] : b[1]]
         most = np.minimum(s - np.bitwise_count(m & ~k).sum(2), t - np.bitwise_count(k & ~m).sum(2))
         good = (100 * most >= percent * (s + t - most)) & (self.comps[a[0] : a[1], None] != self.comps[None, b[0] : b[1]])
-        for i, j in zip(*np.nonzero(good), strict=True):
-            if a[0] + i < b[0] + j:
-                yield int(self.order[a[0] + i]), int(self.order[b[0] + j])
+        i, j = (x + y[0] for x, y in zip(np.nonzero(good), (a, b), strict=True))
+        one = i < j
+        if self.minima is not None:
+            one &= (self.minima[i] == self.minima[j]).sum(1) >= AGREE
+        yield from zip(self.order[i[one]].tolist(), self.order[j[one]].tolist(), strict=True)
 
 
 def hopeless(x: tuple, y: tuple, percent: int) -> bool:
@@ -209,10 +218,11 @@ def _traversed(percent: int):
         key, ids = t.column("key").to_numpy(), t.column("doc_id").to_numpy()
         maps = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
         sizes, comps = t.column("size").to_numpy(), t.column("component").to_numpy()
+        minima = t.column("minima").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
         edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         a, b = [], []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            for i, j in SignatureTree(maps[lo:hi], sizes[lo:hi], comps[lo:hi]).pairs(percent):
+            for i, j in SignatureTree(maps[lo:hi], sizes[lo:hi], comps[lo:hi], minima[lo:hi]).pairs(percent):
                 x, y = int(ids[lo + i]), int(ids[lo + j])
                 a.append(min(x, y)), b.append(max(x, y))
             if len(a) > 50_000:
@@ -224,43 +234,57 @@ def _traversed(percent: int):
     return lambda batches: by_group(batches, solve, CHUNK)
 
 
-def _mapped_bits(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    tokens = [unpacked(x.as_buffer()) for x in batch.column("tokens")]
-    bits = [bitmap(t).tobytes() for t in tokens]
-    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in tokens], pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "size", "bits"])
-
-
 def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(signed documents doc_id, size, rep; components of representatives node, component)."""
     docs = docs.select("doc_id", "text")
-    signed = stash(mapped(docs, _signed(words, bands), "doc_id long, size long, one long, two long, least array<long>"), "signed")
+    signed = stash(mapped(docs, _signed(words, bands), "doc_id long, size long, one long, two long, least array<long>, bits binary"), "signed")
     known = signed.where("size > 0 and doc_id is not null")
-    classes = known.groupBy("one", "two", "size").agg(F.min("doc_id").alias("rep"), F.first("least").alias("least"))
-    meets = classes.select("rep", F.explode("least").alias("key"), "least")
-    counted = meets.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
-    if not counted.where(F.col("n") > hot).isEmpty():
-        big = meets.join(counted.where(F.col("n") > hot).select("key").hint("merge"), "key", "left_semi")
-        finer = big.select("rep", F.explode("least").alias("second"), "key").select("rep", F.xxhash64("key", "second").alias("key"))
-        small = meets.join(counted.where(F.col("n") > hot).select("key").hint("merge"), "key", "left_anti").select("rep", "key")
-        meets = small.union(finer)
-        counted = meets.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
-    groups = stash(meets.select("rep", "key").join(counted.select("key", "lead").hint("merge"), "key"), "groups")
+    picked = known.groupBy("one", "two", "size").agg(F.min("doc_id").alias("rep"), F.first("least").alias("least"), F.first("bits").alias("bits"))
+    classes = stash(picked, "classes")
+    meets = classes.select("rep", F.explode("least").alias("key"))
+    counted = _counted(meets)
+    big = counted.where(F.col("n") > hot).select("key")
+    if not big.isEmpty():
+        again = classes.select("rep", "least", F.explode("least").alias("key")).join(big.hint("merge"), "key", "left_semi")
+        finer = again.select("rep", F.explode("least").alias("second"), "key").where("second <> key").select("rep", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"))
+        meets = meets.join(big.hint("merge"), "key", "left_anti").select("rep", "key").union(finer.distinct())
+        counted = _counted(meets)
+    groups = stash(meets.join(counted.select("key", "lead").hint("merge"), "key").select("key", "rep", "lead"), "groups")
     stars = groups.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stash(stars, "stars")
-    needed = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(needed.hint("merge"), "doc_id")
-    sets = stash(mapped(texts, _packed(words), "doc_id long, tokens binary"), "sets")
-    first = stash(_exact(stars, sets, percent), "links")
+    near = stash(_agreeing(stars, classes, percent), "stars")
+    first = stash(_exact(near, _sets(docs, near, words), percent), "links")
     settled = components(first)
-    member = groups.join(settled.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
+    member = groups.join(settled.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    residual = member.join(open_keys.hint("merge"), "key", "left_semi").join(mapped(sets, _mapped_bits, "doc_id long, size long, bits binary").hint("merge"), "doc_id")
+    signs = classes.select("rep", "size", "bits", F.transform("least", lambda x: F.shiftright(x, 32).cast("int")).alias("minima"))
+    residual = member.join(open_keys.hint("merge"), "key", "left_semi").join(signs.hint("merge"), "rep").withColumnRenamed("rep", "doc_id")
     pairs = residual.repartition("key").sortWithinPartitions("key").mapInArrow(_traversed(percent), "a long, b long").distinct()
-    rest = stash(_exact(pairs.join(first, ["a", "b"], "left_anti"), sets, percent), "links")
+    left = stash(pairs.join(near, ["a", "b"], "left_anti"), "pairs")
+    rest = stash(_exact(left, _sets(docs, left, words), percent), "links")
     final = settled if rest.isEmpty() else components(first.union(rest))
-    unstash(groups, stars, sets)
-    reps = classes.select("one", "two", "size", "rep")
-    return signed.join(reps, ["one", "two", "size"], "left").select("doc_id", "size", "rep"), final
+    unstash(groups, near, left)
+    return signed.join(classes.select("one", "two", "size", "rep"), ["one", "two", "size"], "left").select("doc_id", "size", "rep"), final
+
+
+def _counted(meets: DataFrame) -> DataFrame:
+    """Keys under which two or more meet, with their number and the first of them."""
+    return meets.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
+
+
+def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose sizes and minima leave the threshold within reach."""
+    x = classes.select(F.col("rep").alias("a"), F.col("size").alias("m"), F.col("least").alias("x"))
+    y = classes.select(F.col("rep").alias("b"), F.col("size").alias("n"), F.col("least").alias("y"))
+    fits = (100 * F.least("m", "n") >= percent * F.greatest("m", "n")) & (F.size(F.array_intersect("x", "y")) >= AGREE)
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(fits).select("a", "b")
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The whole shingle sets of the documents in the pairs."""
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    few = needed.limit(FEW + 1).count() <= FEW
+    texts = docs.join(F.broadcast(needed) if few else needed.hint("merge"), "doc_id", "left_semi")
+    return mapped(texts, _packed(words), "doc_id long, tokens binary")
 
 
 def join_components(docs: DataFrame, **options) -> DataFrame:
