@@ -12,6 +12,8 @@ by fingerprint, of what earlier batches held. Each batch
 4. is appended as a new sorted run, one row per distinct run of windows with its first document; when runs
    number `fan_in`, they are compacted: merged into one that keeps the first document of equal rows.
 
+`dedup_words` runs several batches and fetches the words to compare (step 3) for all of them at once.
+
 Edges: null texts have no words; fewer words than a window removes nothing; a window repeated within one
 document only is kept; rows with one doc_id count as one document; extra columns are ignored.
 """
@@ -175,10 +177,11 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(cuts["c"] or []))
 
 
-def new_spans(batch: DataFrame, docs: DataFrame, index: FingerprintIndex, window: int = WINDOW, gram: int = GRAM, last: bool = False) -> DataFrame:
-    """Spans (doc_id, begin, end) of the batch's words that documents before them hold; the batch joins the index.
+def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW, gram: int = GRAM, last: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Merge-join a batch with the index: spans (doc_id, begin, end) of copied runs, and runs (key, doc_id, place, fresh) to compare.
 
-    docs: the documents of the index and of the batch, for verification. last: nothing follows, so the index is left as it is.
+    Runs that share a key only are compared by `verified`. The batch joins the index. last: nothing follows, so
+    the index is left as it is.
     """
     found = stash(mapped(batch.select("doc_id", "text"), _found(window, gram), "key long, snip long, doc_id long, place long").where("doc_id is not null"), "fingerprints")
     fresh = found.groupBy("key", "snip").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("most"))
@@ -190,7 +193,7 @@ def new_spans(batch: DataFrame, docs: DataFrame, index: FingerprintIndex, window
         both = mine.union(old.select("key", "snip", "doc_id", "place", F.lit(False), F.lit(None).cast("long")))
     else:
         both = mine
-    # One row per distinct run: its first document ever, whether the batch has it, and whether a later document has it too.
+    # One row per distinct run: its first document ever, whether the batch has it, and the last document of the batch that has it.
     classes = both.groupBy("key", "snip").agg(
         F.min(F.struct("doc_id", "place", "fresh")).alias("first"), F.max("fresh").alias("fresh"), F.max("most").alias("most")
     )
@@ -200,23 +203,27 @@ def new_spans(batch: DataFrame, docs: DataFrame, index: FingerprintIndex, window
         found.join(copied.hint("merge"), ["key", "snip"]).where("doc_id > holder")
         .select("doc_id", F.expr("place div 256").alias("begin"), F.expr(f"place div 256 + place % 256 + {window - 1}").alias("end"))
     )
+    whole = stash(whole, "spans")
     several = per_key.where("kinds > 1 and any_fresh").select("key")
     named = classes.join(several.hint("merge"), "key", "left_semi").select("key", "snip", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), F.col("first.fresh").alias("fresh"))
     # A run that its first document holds twice is looked at in both places.
     again = found.join(named.where("fresh").select("key", "snip", "doc_id").hint("merge"), ["key", "snip", "doc_id"], "left_semi")
-    wanted = named.select("key", "doc_id", "place", "fresh").union(again.select("key", "doc_id", "place", F.lit(True))).distinct()
+    wanted = stash(named.select("key", "doc_id", "place", "fresh").union(again.select("key", "doc_id", "place", F.lit(True))).distinct(), "wanted")
+    if not last:
+        index.append(fresh)
+    unstash(found, fresh)
+    return whole, wanted
+
+
+def verified(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Spans (doc_id, begin, end) of fresh runs' windows that an earlier document's run under the same key holds word by word."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "fresh")).alias("wanted"))
     texts = mapped(
-        docs.select("doc_id", "text").join(lists.hint("merge"), "doc_id").select("doc_id", "text", "wanted"),
+        docs.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "wanted"),
         _snippets(window),
         "key long, doc_id long, place long, fresh boolean, bytes binary",
     )
-    within = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(window), "doc_id long, begin long, end long")
-    spans = stash(whole.union(within).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
-    if not last:
-        index.append(fresh)
-    unstash(found, fresh)
-    return spans
+    return texts.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(window), "doc_id long, begin long, end long")
 
 
 def _kept(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -243,17 +250,19 @@ def _kept(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
     """Per document what the removal of word windows that smaller doc_ids hold leaves: n_words, n_removed, kept_sha256."""
     docs = docs.select("doc_id", "text")
-    index, found, below = FingerprintIndex(fan_in), [], None
-    bounds = batch_bounds(docs, batches)
-    for upper in [*bounds, None]:
+    index, whole, wanted, below = FingerprintIndex(fan_in), [], [], None
+    for number, upper in enumerate([*batch_bounds(docs, batches), None]):
         batch = docs
         if below is not None:
             batch = batch.where(F.col("doc_id") > below)
-        known = docs
         if upper is not None:
-            batch, known = batch.where(F.col("doc_id") <= upper), docs.where(F.col("doc_id") <= upper)
-        found.append(new_spans(batch, known, index, window, gram, last=upper is None))
+            batch = batch.where(F.col("doc_id") <= upper)
+        spans, runs = candidates(batch, index, window, gram, last=upper is None)
+        whole.append(spans)
+        wanted.append(runs.withColumn("key", F.xxhash64("key", F.lit(number))))
         below = upper
-    spans = reduce(DataFrame.union, found)
-    joined = docs.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
+    # The texts move once, for the comparison of all batches and for the removal.
+    spans = reduce(DataFrame.union, whole).union(verified(docs, reduce(DataFrame.union, wanted), window))
+    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = docs.join(lists.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
     return mapped(joined, _kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
