@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
@@ -111,6 +112,15 @@ class Bundle:
         plan = self.plan(names, predicates, options)
         return self.read_plan(plan), self.rows.sparkSession.createDataFrame([tuple(asdict(plan.report).values())], REPORT)
 
+    def read_with_attribution(self, names=None, predicates=(), options=None) -> tuple[DataFrame, DataFrame, dict]:
+        """Rows, report, and what the planner knows of the read: nanoseconds of planning, chunks, bytes by Spark's estimate, the physical plan."""
+        start = time.perf_counter_ns()
+        rows, report = self.read_with_report(names, predicates, options)
+        execution = rows._jdf.queryExecution()
+        planned = time.perf_counter_ns() - start
+        size = int(str(execution.optimizedPlan().stats().sizeInBytes()))
+        return rows, report, {"plan_ns": planned, "estimated_bytes": size, "physical_plan": execution.executedPlan().toString()}
+
     def read_plan(self, plan: P.ReadPlan, row_groups: list[int] | None = None) -> DataFrame:
         """The plan's row groups, or a subset of them, with the ordinal of each in the plan."""
         chosen = plan.row_groups if row_groups is None else P.subset(plan, row_groups)
@@ -150,6 +160,17 @@ class Bundle:
                 return False
         return True
 
+    def visit_into(self, buffers: dict[str, list], visitor: Callable[[int, dict[str, list]], bool | None], plan: P.ReadPlan, row_groups: list[int] | None = None) -> bool:
+        """visit with the caller's lists, one a column, refilled for each row group."""
+        P.resolve(self.columns, list(buffers))
+
+        def fill(g: int, rows: list) -> bool | None:
+            for name, buffer in buffers.items():
+                buffer[:] = [r[name] for r in rows]
+            return visitor(g, buffers)
+
+        return self.visit(fill, plan, row_groups)
+
     def prepare(self, function: Callable[[pa.Table], bytes], plan: P.ReadPlan, row_groups: list[int] | None = None) -> DataFrame:
         """Workers map each row group to bytes in parallel: rows (plan_ordinal, payload, error)."""
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..errors import TableError
 from ..operators import records
@@ -101,7 +102,7 @@ def summary(manifest: DataFrame) -> DataFrame:
     return manifest.select("schema_version", "trading_day", "artifact_format", F.size("channels").alias("channels"), *map(total, ("row_count", "order_records", "trade_records")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a64(content: pd.Series) -> pd.Series:
     """FNV-1a, 64 bits, of binary values, all values advanced together byte by byte; Spark has no such function."""
     values = [b"" if v is None else bytes(v) for v in content]
