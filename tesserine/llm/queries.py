@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import embedding_dedup, html_text, jaccard_join, mixing, packing, quality_model, secret_forest, spot_signatures, substring_dedup, suffix_dedup
 from .common import table
+from .oracles import ORACLE_SQL
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_multi_index_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
