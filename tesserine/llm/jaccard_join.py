@@ -3,14 +3,14 @@
 1. A document's set is hashed (64 bits a shingle); equal sets are one class, whose least doc_id stands for it.
 2. Classes meet by `BANDS` independent minimum hashes. Two sets of similarity s share a given minimum with
    probability s, so a pair at the threshold 0.8 misses all 24 with probability 0.2**24 < 2e-17, the order of
-   the shingle hashes' own collisions: no link is lost in practice. A meeting group that is hot (over `HOT`
-   classes) is divided by the same minima once more, with the same odds.
+   the shingle hashes' own collisions: no link is lost in practice.
 3. Star step: every member of a group is compared with the group's first one. The links give components; a
    group within one component is settled, however large it is.
 4. Signature trees: in every group that still spans components a tree is built over the members in order of
    size. Nodes hold OR- and AND-combined token bitmaps and their size range; dual traversal of the tree against
    itself drops node pairs whose greatest possible overlap is below the threshold or that lie in one
-   component. The components are closed again over what it adds.
+   component. The components are closed again over what it adds. A hot group (over `HOT` classes) that still
+   spans components is first divided by the same minima once more, with the same odds.
 
 Pairs of both steps are compared exactly, on the whole sets, once they share at least `AGREE` of the 24 minima;
 a linked pair shares fewer with probability below 6e-11.
@@ -243,26 +243,25 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands:
     classes = stash(picked, "classes")
     meets = classes.select("rep", F.explode("least").alias("key"))
     counted = _counted(meets)
-    big = counted.where(F.col("n") > hot).select("key")
-    if not big.isEmpty():
-        again = classes.select("rep", "least", F.explode("least").alias("key")).join(big.hint("merge"), "key", "left_semi")
-        finer = again.select("rep", F.explode("least").alias("second"), "key").where("second <> key").select("rep", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"))
-        meets = meets.join(big.hint("merge"), "key", "left_anti").select("rep", "key").union(finer.distinct())
-        counted = _counted(meets)
     groups = stash(meets.join(counted.select("key", "lead").hint("merge"), "key").select("key", "rep", "lead"), "groups")
     stars = groups.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     near = stash(_agreeing(stars, classes, percent), "stars")
     first = stash(_exact(near, _sets(docs, near, words), percent), "links")
     settled = components(first)
     member = groups.join(settled.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    open_groups = stash(_open(member), "open")
+    small = open_groups.where(F.col("n") <= hot).select("key", "rep", "component")
+    # Hot groups are divided by the minima once more; sets similar enough share one of these as well.
+    again = open_groups.where(F.col("n") > hot).join(classes.select("rep", F.explode("least").alias("second")).hint("merge"), "rep").where("second <> key")
+    finer = again.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "rep", "component").distinct()
+    residual = small.union(_open(finer).select("key", "rep", "component"))
     signs = classes.select("rep", "size", "bits", F.transform("least", lambda x: F.shiftright(x, 32).cast("int")).alias("minima"))
-    residual = member.join(open_keys.hint("merge"), "key", "left_semi").join(signs.hint("merge"), "rep").withColumnRenamed("rep", "doc_id")
+    residual = residual.join(signs.hint("merge"), "rep").withColumnRenamed("rep", "doc_id")
     pairs = residual.repartition("key").sortWithinPartitions("key").mapInArrow(_traversed(percent), "a long, b long").distinct()
     left = stash(pairs.join(near, ["a", "b"], "left_anti"), "pairs")
     rest = stash(_exact(left, _sets(docs, left, words), percent), "links")
     final = settled if rest.isEmpty() else components(first.union(rest))
-    unstash(groups, near, left)
+    unstash(groups, open_groups, near, left)
     return signed.join(classes.select("one", "two", "size", "rep"), ["one", "two", "size"], "left").select("doc_id", "size", "rep"), final
 
 
@@ -271,6 +270,12 @@ def _counted(meets: DataFrame) -> DataFrame:
     return meets.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
 
 
+def _open(member: DataFrame) -> DataFrame:
+    """Members (key, rep, component, n) of groups that span components; n is the group's size."""
+    spread = member.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+    return member.join(spread.where("x < y").select("key", "n").hint("merge"), "key").select("key", "rep", "component", "n")
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose sizes and minima leave the threshold within reach."""
     x = classes.select(F.col("rep").alias("a"), F.col("size").alias("m"), F.col("least").alias("x"))
