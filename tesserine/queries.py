@@ -700,3 +700,25 @@ def size_attribution(spark, d):
     )
     out = apps.size_attribution(chunks, F.lit(1000000))
     return out.select("artifact", "payload_bytes", "scalar_bytes", F.round("payload_share", 6).alias("payload_share"), F.round("ratio", 6).alias("ratio"), "next_experiment")
+
+# Types that the SQL's own arithmetic would give otherwise.
+_INT = {"row_group_id": "int"}
+_TYPES: dict[str, dict[str, str]] = {
+    **dict.fromkeys("bundle_append_snapshot bundle_long_statistics bundle_ordering_range bundle_prune_between bundle_prune_conjunctive bundle_prune_equal bundle_prune_missing_stats bundle_read_row_group etl_union_sorted".split(), _INT),
+    "bundle_dictionary_decode": {"event_code": "int"},
+    "bundle_read_report": dict.fromkeys(("effective_read_threads", "pruned_row_groups", "selected_chunks", "selected_row_groups"), "int"),
+    "bundle_row_group_summaries": {"row_group_id": "int", "null_orderkeys": "bigint"},
+    "bundle_subset_plan_order": {"plan_ordinal": "int", "row_group_id": "int"},
+    "bundle_parallel_prepare": {"plan_ordinal": "int", "key_sum": "bigint"},
+    "etl_snapshots": {"ask_number_1": "bigint", "bid_volume_10": "bigint"},
+    "manifest_certify": {"channel_id": "int"},
+    "record_lanes_round_trip": {"error_kind": "varchar"},
+    "sparse_append_present": {"i2": "bigint"},
+    "op_tensor_expand_dims": {"i1": "bigint"},
+    "op_tensor_max_all": {"i0": "bigint", "i1": "bigint"},
+    **dict.fromkeys(("op_tensor_stack", "op_tensor_sum_keepdims", "coord_exact", "tensor_axis_one", "tensor_read_index_newaxis"), {"i0": "bigint"}),
+    **dict.fromkeys(("op_tensor_take", "tensor_axis_take", "tensor_selectors"), {"i1": "bigint"}),
+}
+for _name, _casts in _TYPES.items():
+    _columns = ", ".join(f"{c}::{t} as {c}" for c, t in _casts.items())
+    ORACLE_SQL[_name] = f"select * replace ({_columns}) from ({ORACLE_SQL[_name]}) as _typed"
