@@ -29,6 +29,8 @@ REPEATS = 2.0
 SEED = 17
 #: Rows of a source in one block, about.
 BLOCK = 512
+#: Blocks of a source at most; larger sources have larger blocks, so that the table of blocks stays small.
+BLOCKS = 4096
 
 
 @dataclass(frozen=True)
@@ -103,7 +105,7 @@ def mixed(docs: DataFrame, repeats: float | None = REPEATS, target_entropy: floa
     mix = solve({r["_key"]: int(r["tokens"]) for r in found}, repeats, target_entropy, budget)
     spark = docs.sparkSession
     plan = spark.createDataFrame(
-        [(r["_key"], int(e), float(e - int(e)) * int(r["tokens"]), max(1, -(-int(r["rows"]) // block))) for r in found for e in [mix.epochs[r["_key"]]]],
+        [(r["_key"], int(e), float(e - int(e)) * int(r["tokens"]), min(BLOCKS, max(1, -(-int(r["rows"]) // block)))) for r in found for e in [mix.epochs[r["_key"]]]],
         "_key string, _whole int, _rest double, _blocks int",
     )
     rank = F.xxhash64("_id", F.lit(seed))
