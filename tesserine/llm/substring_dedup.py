@@ -9,8 +9,8 @@ by fingerprint, of what earlier batches held. Each batch
 3. verifies: rows whose whole run of windows is equal (128 bits of hash over all its words) are copies; where
    only the anchor is shared, the words of one representative per distinct run are fetched and compared window
    by window;
-4. is appended as a new sorted run, one row per distinct run of windows with its first document; when runs
-   number `fan_in`, they are compacted: merged into one that keeps the first document of equal rows.
+4. is appended as a new sorted run; when runs number `fan_in`, they are compacted: merged into one that keeps
+   the first document of equal rows.
 
 `dedup_words` runs several batches and fetches the words to compare (step 3) for all of them at once.
 
@@ -151,7 +151,7 @@ def _compared(window: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (key, snip, doc_id, place) of the first document of every distinct run of windows."""
+    """Sorted immutable runs (key, snip, doc_id, place) of what earlier batches held; compaction keeps the first of equal rows."""
 
     def __init__(self, fan_in: int = FAN_IN):
         self.fan_in, self.runs = fan_in, []
@@ -159,8 +159,9 @@ class FingerprintIndex:
     def rows(self) -> DataFrame | None:
         return reduce(DataFrame.union, self.runs) if self.runs else None
 
-    def append(self, classes: DataFrame) -> None:
-        self.runs.append(stash(classes.select("key", "snip", "doc_id", "place"), "index", ("key", "snip")))
+    def append(self, run: DataFrame) -> None:
+        """Take a stashed, sorted table as the next run."""
+        self.runs.append(run)
         if len(self.runs) >= self.fan_in:
             self.compact()
 
@@ -183,20 +184,25 @@ def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW,
     Runs that share a key only are compared by `verified`. The batch joins the index. last: nothing follows, so
     the index is left as it is.
     """
-    found = stash(mapped(batch.select("doc_id", "text"), _found(window, gram), "key long, snip long, doc_id long, place long").where("doc_id is not null"), "fingerprints")
-    fresh = found.groupBy("key", "snip").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("most"))
-    fresh = stash(fresh.select("key", "snip", "first.doc_id", "first.place", "most"), "classes", ("key", "snip"))
+    every = mapped(batch.select("doc_id", "text"), _found(window, gram), "key long, snip long, doc_id long, place long").where("doc_id is not null")
+    every = stash(every, "index", ("key", "snip"))
     history = index.rows()
-    mine = fresh.select("key", "snip", "doc_id", "place", F.lit(True).alias("fresh"), F.col("most"))
+    # Keys that occur once, in the batch and in the index together, have nothing to say.
+    keys = every.select("key", F.lit(True).alias("fresh"))
     if history is not None:
-        old = history.join(fresh.select("key").distinct().hint("merge"), "key", "left_semi")
-        both = mine.union(old.select("key", "snip", "doc_id", "place", F.lit(False), F.lit(None).cast("long")))
-    else:
-        both = mine
+        keys = keys.union(history.select("key", F.lit(False)))
+    live = stash(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("fresh").alias("fresh")).where("n > 1 and fresh").select("key"), "keys")
+    found = stash(every.join(live.hint("merge"), "key", "left_semi"), "fingerprints")
+    fresh = found.groupBy("key", "snip").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("most"))
+    both = fresh.select("key", "snip", "first.doc_id", "first.place", F.lit(True).alias("fresh"), "most")
+    if history is not None:
+        old = history.join(live.hint("merge"), "key", "left_semi")
+        both = both.union(old.select("key", "snip", "doc_id", "place", F.lit(False), F.lit(None).cast("long")))
     # One row per distinct run: its first document ever, whether the batch has it, and the last document of the batch that has it.
     classes = both.groupBy("key", "snip").agg(
         F.min(F.struct("doc_id", "place", "fresh")).alias("first"), F.max("fresh").alias("fresh"), F.max("most").alias("most")
     )
+    classes = stash(classes, "classes")
     per_key = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.max("fresh").alias("any_fresh"))
     copied = classes.where("most > first.doc_id").select("key", "snip", F.col("first.doc_id").alias("holder"))
     whole = (
@@ -209,9 +215,11 @@ def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW,
     # A run that its first document holds twice is looked at in both places.
     again = found.join(named.where("fresh").select("key", "snip", "doc_id").hint("merge"), ["key", "snip", "doc_id"], "left_semi")
     wanted = stash(named.select("key", "doc_id", "place", "fresh").union(again.select("key", "doc_id", "place", F.lit(True))).distinct(), "wanted")
-    if not last:
-        index.append(fresh)
-    unstash(found, fresh)
+    unstash(live, found, classes)
+    if last:
+        unstash(every)
+    else:
+        index.append(every)
     return whole, wanted
 
 
