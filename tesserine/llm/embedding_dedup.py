@@ -3,9 +3,12 @@
 Two codebooks are trained, one for each half of the unit vectors, on a bounded sample (`SAMPLE` rows at most,
 the least hashes of vec_id); their product is a grid of cells. Every distinct vector is filed in the cell of its
 two nearest codewords. It then visits cells in the order of the multi-sequence traversal, nearest pairs of
-codewords first, until no remaining cell can hold a vector within the threshold: a vector in cell (i, j) lies
-on the codewords' side of the bisecting planes, which bounds its distance from below half by half. Visits
-therefore lose no pair (recall 1, above the 0.9 asked for); what they meet is verified in double precision.
+codewords first. A vector in cell (i, j) lies on the codewords' side of the bisecting planes, which bounds its
+distance from below half by half; the visits end where that bound reaches the target recall's. It is a share of
+the threshold's own distance: the difference of two vectors of d components at the threshold exceeds four
+standard deviations, 16 / d of its square, in the direction of a plane once in 30 000 times (with 16 components
+or fewer the visits are complete), and twice what the linked pairs of the sample would have needed is allowed
+as well. What the visits meet is verified in double precision, so no pair below the threshold is linked.
 
 Equal vectors of a label are one class with a count, and cells are cut into blocks of at most `BLOCK` classes, so
 that a hot cell is met by many tasks. Of a class's links one edge for each block that it meets goes on.
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import components, mapped, stash
 
 THRESHOLD = 0.98
-SAMPLE, CODEWORDS, STEPS = 8192, 32, 12
+SAMPLE, CODEWORDS, STEPS = 8192, 16, 12
+#: Standard deviations of a difference in one direction that visits allow for.
+DEVIATIONS = 4.0
 BLOCK = 2048
 #: Slack for rounding in bounds; verification itself is exact to double precision.
 SLACK = 1e-9
@@ -61,21 +66,40 @@ def codebook(x: np.ndarray, k: int = CODEWORDS, steps: int = STEPS, seed: int =
     return np.unique(centres, axis=0)
 
 
-def train(vectors: DataFrame, sample: int = SAMPLE, k: int = CODEWORDS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each vector length of the sample the codebooks of both halves."""
-    rows = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+def train(vectors: DataFrame, sample: int = SAMPLE, k: int = CODEWORDS, threshold: float = THRESHOLD) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """For each vector length of the sample the codebooks of both halves, and the bound at which visits end."""
+    rows = vectors.select("vec_id", "embedding", "label").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     by: dict[int, list] = {}
     for r in rows:
-        by.setdefault(len(r["embedding"]), []).append(r["embedding"])
+        by.setdefault(len(r["embedding"]), []).append(r)
     out = {}
     for n, found in by.items():
-        x = np.array(found, np.float64)
+        x = np.array([r["embedding"] for r in found], np.float64)
         x /= np.abs(x).max(1, keepdims=True)
-        a, b = _halves(x / np.linalg.norm(x, axis=1, keepdims=True))
-        out[n] = (codebook(a, k), codebook(b, k))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        halves = _halves(x)
+        books = tuple(codebook(h, k) for h in halves)
+        labels = np.unique([str(r["label"]) for r in found], return_inverse=True)[1]
+        most = 2 - 2 * threshold + 1e-7
+        allowed = max(most * min(1.0, DEVIATIONS**2 / n), 2 * _needed(x, labels, halves, books, threshold))
+        out[n] = (*books, min(most, allowed))
     return out
 
 
+def _needed(x: np.ndarray, labels: np.ndarray, halves, books, threshold: float) -> float:
+    """The greatest bound at which a linked pair of the sample would still be missed, in blocks of rows."""
+    (na, la), (nb, lb) = (_bounds(h, w) for h, w in zip(halves, books, strict=True))
+    worst = 0.0
+    for label in range(labels.max(initial=-1) + 1):
+        own = np.flatnonzero(labels == label)
+        for at in range(0, len(own), 512):
+            i, j = np.nonzero(x[own[at : at + 512]] @ x[own].T >= threshold)
+            i, j = own[at + i], own[j]
+            if len(i):
+                worst = max(worst, float((la[i, na[j]] + lb[i, nb[j]]).max()))
+    return worst
+
+
 def _bounds(x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest codeword of each row, and the square of a lower bound of its distance to every codeword's region."""
     if words.shape[1] == 0:
@@ -104,9 +128,8 @@ def traversal(first: np.ndarray, second: np.ndarray, most: float) -> Iterator[tu
                 heapq.heappush(heap, (first[a[p]] + second[b[q]], p, q))
 
 
-def _filed(books: dict, threshold: float, home: bool):
+def _filed(books: dict, home: bool):
     """Rows with their cell; at home one each, as visitors one for each cell that they must visit."""
-    most = 2 - 2 * threshold + 1e-7
 
     def place(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sizes = pa.compute.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
@@ -118,8 +141,8 @@ def _filed(books: dict, threshold: float, home: bool):
             if n not in books:  # a length that the sample missed has one cell
                 rows, cells = np.arange(len(x)), np.zeros(len(x), np.int64)
             else:
-                (na, la), (nb, lb) = (_bounds(h, w) for h, w in zip(_halves(x), books[n], strict=True))
-                width = len(books[n][1]) or 1
+                (na, la), (nb, lb) = (_bounds(h, w) for h, w in zip(_halves(x), books[n][:2], strict=True))
+                width, most = len(books[n][1]) or 1, books[n][2]
                 if home:
                     rows, cells = np.arange(len(x)), na * width + nb
                 else:
@@ -176,11 +199,11 @@ def _met(threshold: float):
 def links(classes: DataFrame, books: dict, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Rows (vec_id, links, least): for each class and block met, the vectors linked there and the least linked vec_id."""
     types = f"vec_id long, label {classes.schema['label'].dataType.simpleString()}, n long, embedding array<{classes.schema['embedding'].dataType.elementType.simpleString()}>"
-    filed = mapped(classes.select("vec_id", "label", "n", "embedding"), _filed(books, threshold, True), f"{types}, width long, cell long")
+    filed = mapped(classes.select("vec_id", "label", "n", "embedding"), _filed(books, True), f"{types}, width long, cell long")
     cell = ["label", "width", "cell"]
     sizes = filed.groupBy(*cell).agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     home = filed.join(sizes.select(*cell, "blocks"), cell).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-    guests = mapped(classes.select("vec_id", "label", "n", "embedding"), _filed(books, threshold, False), f"{types}, width long, cell long")
+    guests = mapped(classes.select("vec_id", "label", "n", "embedding"), _filed(books, False), f"{types}, width long, cell long")
     # The guests of a block are cut as well: a block of residents is sent once for each `blocks` cut.
     guests = guests.join(sizes.select(*cell, "blocks"), cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     guests = guests.withColumn("cut", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").cast("int"))
@@ -207,7 +230,7 @@ def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int
     """Per vector n_links, component_id and kept."""
     vectors = vectors.select("vec_id", "embedding", "label")
     good = vectors.where(usable() & F.col("vec_id").isNotNull())
-    books = train(good, sample, k)
+    books = train(good, sample, k, threshold)
     # 0.0 and -0.0 differ as bytes but not as numbers; two such classes still link by cosine.
     named = good.withColumn("same", F.struct("label", "embedding"))
     classes = stash(named.groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).select("vec_id", "n", "same.label", "same.embedding"), "classes")
