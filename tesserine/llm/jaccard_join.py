@@ -203,6 +203,19 @@ class SignatureTree:
         yield from zip(self.order[i[one]].tolist(), self.order[j[one]].tolist(), strict=True)
 
 
+def alike(maps, sizes, comps, minima, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs (i, j) of different components whose bitmaps and minima leave the threshold within reach."""
+    low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    keep = (comps[i] != comps[j]) & (100 * low >= percent * high)
+    i, j = i[keep], j[keep]
+    keep = (minima[i] == minima[j]).sum(1) >= AGREE
+    i, j = i[keep], j[keep]
+    m, k = maps[i], maps[j]
+    most = np.minimum(sizes[i] - np.bitwise_count(m & ~k).sum(1, dtype=np.int64), sizes[j] - np.bitwise_count(k & ~m).sum(1, dtype=np.int64))
+    keep = 100 * most >= percent * (sizes[i] + sizes[j] - most)
+    return i[keep], j[keep]
+
+
 def hopeless(x: tuple, y: tuple, percent: int) -> bool:
     """Whether no member of x and member of y can be similar enough, by size ranges and bitmaps."""
     if 100 * x[3] < percent * y[2] or 100 * y[3] < percent * x[2]:
@@ -221,7 +234,17 @@ def _traversed(percent: int):
         minima = t.column("minima").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
         edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         a, b = [], []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        count = np.diff(edges)
+        for n in np.unique(count[(count > 1) & (count <= LEAF)]).tolist():  # trees of one leaf, all of a size together
+            first = edges[:-1][count == n]
+            i, j = (x[None] for x in np.triu_indices(n, 1))
+            i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+            for at in range(0, len(i), 100_000):
+                x, y = alike(maps, sizes, comps, minima, i[at : at + 100_000], j[at : at + 100_000], percent)
+                x, y = ids[x], ids[y]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        for lo, hi in zip(edges[:-1][count > LEAF].tolist(), edges[1:][count > LEAF].tolist(), strict=True):
             for i, j in SignatureTree(maps[lo:hi], sizes[lo:hi], comps[lo:hi], minima[lo:hi]).pairs(percent):
                 x, y = int(ids[lo + i]), int(ids[lo + j])
                 a.append(min(x, y)), b.append(max(x, y))
