@@ -39,7 +39,7 @@ HOT = 256
 #: Documents to be fetched are looked up in place, without moving the texts, up to this number.
 FEW = 100_000
 #: Bits of a member's token bitmap.
-BITS = 1024
+BITS = 4096
 LEAF = 16
 CHUNK = 1 << 21
 _SALTS = anchors.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
