@@ -11,7 +11,8 @@ or fewer the visits are complete), and twice what the linked pairs of the sample
 as well. What the visits meet is verified in double precision, so no pair below the threshold is linked.
 
 Equal vectors of a label are one class with a count, and cells are cut into blocks of at most `BLOCK` classes, so
-that a hot cell is met by many tasks. Of a class's links one edge for each block that it meets goes on.
+that a hot cell is met by many tasks. Of the links found in a block the edges of a spanning forest go on: every
+class that is linked there to the least of those it hangs together with, so no found connection is lost.
 
 Edges: null label, null or empty or zero vectors, null or non-finite components: no links, own component, kept.
 Vectors of different lengths never link. A null vec_id stays as a row of its own without links.
@@ -171,6 +172,28 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return np.where(odd, x / np.exp2(np.floor(np.log2(top))), x)
 
 
+def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For linked[i, j] of left[i] and right[j] the least id that each row and each column hangs together with; its own without links."""
+    rows, columns = left.copy(), right.copy()
+    fresh = linked.any(1)
+    free = linked.any(0)
+    for start in np.flatnonzero(fresh).tolist():
+        if not fresh[start]:
+            continue
+        fresh[start] = False
+        front, mine, theirs = np.array([start]), [], []
+        while len(front):
+            mine.append(front)
+            met = np.flatnonzero(linked[front].any(0) & free)
+            free[met] = False
+            theirs.append(met)
+            front = np.flatnonzero(linked[:, met].any(1) & fresh)
+            fresh[front] = False
+        a, b = np.concatenate(mine), np.concatenate(theirs)
+        rows[a] = columns[b] = min(left[a].min(), right[b].min())
+    return rows, columns
+
+
 def _met(threshold: float):
     def meet(left: Iterator, right: Iterator):
         residents = list(left)
@@ -180,8 +203,6 @@ def _met(threshold: float):
         n = home.column("width")[0].as_py()
         x = _scaled(vectors_of(home.column("embedding").combine_chunks(), n))
         ids, weight = home.column("vec_id").to_numpy(), home.column("n").to_numpy()
-        order = np.argsort(ids)
-        x, ids, weight = x[order], ids[order], weight[order]
         for guests in right:
             for at in range(0, guests.num_rows, 1024):
                 part = guests.slice(at, 1024)
@@ -191,13 +212,16 @@ def _met(threshold: float):
                 links = linked @ weight
                 hit = np.flatnonzero(links)
                 if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(mine[hit]), pa.array(links[hit]), pa.array(ids[linked[hit].argmax(1)])], ["vec_id", "links", "least"])
+                    least, others = forest(linked[hit], mine[hit], ids)
+                    more = np.flatnonzero(others != ids)
+                    columns = (mine[hit], ids[more]), (links[hit], np.zeros(len(more), links.dtype)), (least, others[more])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["vec_id", "links", "least"])
 
     return meet
 
 
 def links(classes: DataFrame, books: dict, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Rows (vec_id, links, least): for each class and block met, the vectors linked there and the least linked vec_id."""
+    """Rows (vec_id, links, least): for each class and block met, the vectors linked there and the least vec_id of those that hang together; residents with 0 links as well."""
     types = f"vec_id long, label {classes.schema['label'].dataType.simpleString()}, n long, embedding array<{classes.schema['embedding'].dataType.elementType.simpleString()}>"
     filed = mapped(classes.select("vec_id", "label", "n", "embedding"), _filed(books, True), f"{types}, width long, cell long")
     cell = ["label", "width", "cell"]

@@ -53,3 +53,22 @@ def test_traversal_is_in_order():
     costs = [a[i] + b[j] for i, j in seen]
     assert costs == sorted(costs)
     assert set(seen) == {(i, j) for i in range(9) for j in range(7) if a[i] + b[j] <= 1.0}
+
+
+def test_chains_keep_their_component(spark):
+    at = np.arccos(0.985)
+    chain = [(v, [float(np.cos(k * at)), float(np.sin(k * at))], 0) for k, v in enumerate((1, 3, 4, 2))]
+    rng = np.random.default_rng(5)
+    data, ids = list(chain), rng.permutation(np.arange(10, 2000))
+    for g in range(25):
+        base = rng.normal(size=16)
+        for _ in range(20):
+            v = base + rng.normal(size=16) * 0.145
+            data.append((int(ids[len(data)]), [float(x) for x in v], 1 + g))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    want = plain(data)
+    assert [want[v][1] for v in (1, 2, 3, 4)] == [1] * 4
+    assert len({c for _, c, _ in want.values()}) < len(data) - 100
+    for block in (E.BLOCK, 6):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.dedup_vectors(df, k=1, block=block).collect()}
+        assert got == want
