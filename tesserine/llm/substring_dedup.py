@@ -8,7 +8,8 @@ by fingerprint, of what earlier batches held. Each batch
 2. merge-joins them with every run of the index and with itself;
 3. verifies: rows whose whole run of windows is equal (128 bits of hash over all its words) are copies; where
    only the anchor is shared, the words of one representative per distinct run are fetched and compared window
-   by window;
+   by window; under a key with more than `HOT` distinct runs these are cut into single windows, of which equal
+   ones (128 bits of hash over all words) are brought to their first document before they meet;
 4. is appended as a new sorted run; when runs number `fan_in`, they are compacted: merged into one that keeps
    the first document of equal rows.
 
@@ -35,6 +36,8 @@ from .common import mapped, stash, texts_of, unstash
 WINDOW, GRAM = 50, 16
 BATCHES, FAN_IN = 3, 2
 CHUNK = 1 << 21
+#: Distinct runs under one key that are compared in one group.
+HOT = 1000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -81,20 +84,27 @@ def _found(window: int, gram: int):
     return find
 
 
+def _wanted(batch: pa.RecordBatch, window: int, hot: bool):
+    """The batch's words (raw, begin, end) and its wanted runs, those of hot keys or the others: row, first word, windows, (key, place, fresh)."""
+    data, offsets = texts_of(batch.column("text"))
+    begin, end, words = word_places(data, offsets)
+    wanted = batch.column("wanted")
+    flat = wanted.flatten()
+    row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(wanted).to_numpy())
+    mine = np.flatnonzero(flat.field("hot").to_numpy(zero_copy_only=False) == hot)
+    key, place, fresh = (flat.field(c).take(pa.array(mine)) for c in ("key", "place", "fresh"))
+    row = row[mine]
+    start, count = np.divmod(place.to_numpy(), 256)
+    first = words[row] + start
+    sound = first + count + window - 1 <= words[row + 1]
+    if not sound.all():
+        raise ValueError("documents has two texts under one doc_id")
+    return (data.tobytes(), begin, end), row, first, count, (key, place, fresh)
+
+
 def _snippets(window: int):
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, offsets = texts_of(batch.column("text"))
-        begin, end, words = word_places(data, offsets)
-        raw = data.tobytes()
-        wanted = batch.column("wanted")
-        flat = wanted.flatten()
-        key, place, fresh = flat.field("key"), flat.field("place"), flat.field("fresh")
-        row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(wanted).to_numpy())
-        start, count = np.divmod(place.to_numpy(), 256)
-        first = words[row] + start
-        sound = first + count + window - 1 <= words[row + 1]
-        if not sound.all():
-            raise ValueError("documents has two texts under one doc_id")
+        (raw, begin, end), row, first, count, (key, place, fresh) = _wanted(batch, window, False)
         a, b = begin[first], end[first + count + window - 2]
         pieces = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         for i in range(0, len(pieces), 2048):
@@ -106,6 +116,30 @@ def _snippets(window: int):
     return cut
 
 
+def _windows(window: int):
+    """Runs of hot keys as single windows: two halves of a hash of key and words, doc_id, begin, fresh."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        (raw, begin, end), row, first, count, (key, place, fresh) = _wanted(batch, window, True)
+        keys = key.to_numpy()
+        for i in range(0, len(row), 2048):
+            digests = []
+            for x, n, k in zip(first[i : i + 2048].tolist(), count[i : i + 2048].tolist(), keys[i : i + 2048].tolist(), strict=True):
+                to = x + n + window - 1
+                run = [raw[a:b] for a, b in zip(begin[x:to].tolist(), end[x:to].tolist(), strict=True)]
+                salt = k.to_bytes(8, "little", signed=True)
+                digests += [hashlib.blake2b(b" ".join(run[j : j + window]), digest_size=16, salt=salt).digest() for j in range(n)]
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            of = np.repeat(np.arange(i, min(i + 2048, len(row))), count[i : i + 2048])
+            at = np.arange(len(of)) - np.repeat(np.cumsum(count[i : i + 2048]) - count[i : i + 2048], count[i : i + 2048])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), batch.column("doc_id").take(pa.array(row[of])), pa.array(place.to_numpy()[of] // 256 + at), fresh.take(pa.array(of))],
+                ["high", "low", "doc_id", "begin", "fresh"],
+            )
+
+    return cut
+
+
 def _compared(window: int):
     """Groups of representatives under one key, to the word spans (doc_id, begin, end) of fresh ones that an earlier document holds."""
 
@@ -178,8 +212,8 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(cuts["c"] or []))
 
 
-def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW, gram: int = GRAM, last: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Merge-join a batch with the index: spans (doc_id, begin, end) of copied runs, and runs (key, doc_id, place, fresh) to compare.
+def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW, gram: int = GRAM, last: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Merge-join a batch with the index: spans (doc_id, begin, end) of copied runs, and runs (key, doc_id, place, fresh, hot) to compare.
 
     Runs that share a key only are compared by `verified`. The batch joins the index. last: nothing follows, so
     the index is left as it is.
@@ -210,11 +244,11 @@ def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW,
         .select("doc_id", F.expr("place div 256").alias("begin"), F.expr(f"place div 256 + place % 256 + {window - 1}").alias("end"))
     )
     whole = stash(whole, "spans")
-    several = per_key.where("kinds > 1 and any_fresh").select("key")
-    named = classes.join(several.hint("merge"), "key", "left_semi").select("key", "snip", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), F.col("first.fresh").alias("fresh"))
+    several = per_key.where("kinds > 1 and any_fresh").select("key", (F.col("kinds") > hot).alias("hot"))
+    named = classes.join(several.hint("merge"), "key").select("key", "snip", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), F.col("first.fresh").alias("fresh"), "hot")
     # A run that its first document holds twice is looked at in both places.
-    again = found.join(named.where("fresh").select("key", "snip", "doc_id").hint("merge"), ["key", "snip", "doc_id"], "left_semi")
-    wanted = stash(named.select("key", "doc_id", "place", "fresh").union(again.select("key", "doc_id", "place", F.lit(True))).distinct(), "wanted")
+    again = found.join(named.where("fresh").select("key", "snip", "doc_id", "hot").hint("merge"), ["key", "snip", "doc_id"])
+    wanted = stash(named.select("key", "doc_id", "place", "fresh", "hot").union(again.select("key", "doc_id", "place", F.lit(True), "hot")).distinct(), "wanted")
     unstash(live, found, classes)
     if last:
         unstash(every)
@@ -225,13 +259,17 @@ def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW,
 
 def verified(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
     """Spans (doc_id, begin, end) of fresh runs' windows that an earlier document's run under the same key holds word by word."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "fresh")).alias("wanted"))
-    texts = mapped(
-        docs.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "wanted"),
-        _snippets(window),
-        "key long, doc_id long, place long, fresh boolean, bytes binary",
-    )
-    return texts.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(window), "doc_id long, begin long, end long")
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "fresh", "hot")).alias("wanted"))
+    held = docs.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "wanted")
+    texts = mapped(held, _snippets(window), "key long, doc_id long, place long, fresh boolean, bytes binary")
+    within = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(window), "doc_id long, begin long, end long")
+    if wanted.where("hot").isEmpty():
+        return within
+    # Equal windows of hot keys are counted together before they meet, whatever number of runs holds them.
+    cut = mapped(held, _windows(window), "high long, low long, doc_id long, begin long, fresh boolean")
+    first = cut.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max(F.when(F.col("fresh"), F.col("doc_id"))).alias("most")).where("most > first")
+    alone = cut.where("fresh").join(first.hint("merge"), ["high", "low"]).where("doc_id > first")
+    return within.union(alone.select("doc_id", "begin", (F.col("begin") + window).alias("end")))
 
 
 def _kept(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -255,7 +293,7 @@ def _kept(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     )
 
 
-def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
+def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, fan_in: int = FAN_IN, hot: int = HOT) -> DataFrame:
     """Per document what the removal of word windows that smaller doc_ids hold leaves: n_words, n_removed, kept_sha256."""
     docs = docs.select("doc_id", "text")
     index, whole, wanted, below = FingerprintIndex(fan_in), [], [], None
@@ -265,7 +303,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches
             batch = batch.where(F.col("doc_id") > below)
         if upper is not None:
             batch = batch.where(F.col("doc_id") <= upper)
-        spans, runs = candidates(batch, index, window, gram, last=upper is None)
+        spans, runs = candidates(batch, index, window, gram, last=upper is None, hot=hot)
         whole.append(spans)
         wanted.append(runs.withColumn("key", F.xxhash64("key", F.lit(number))))
         below = upper

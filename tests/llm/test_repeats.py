@@ -1,6 +1,7 @@
 """Removal of repeated bytes and words against plain versions."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -63,6 +64,30 @@ def test_words_match_plain(spark, batches):
     assert sum(x[1] for x in got.values()) > 300
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_words_of_hot_keys_match_plain(spark, monkeypatch, batches):
+    r = random.Random(8)
+    some = lambda k: [f"w{r.randrange(10_000)}" for _ in range(k)]
+    passage = some(60)
+    rows = [" ".join([*some(20), *passage[r.randint(0, 9) :], *some(20)]).replace(" ", " \n", i % 3) for i in range(60)]
+    df = frame(spark, texts() + rows + [" ".join(passage[5:] + passage[5:])])
+    whole = substring_dedup._snippets
+
+    def counted(window):
+        def cut(batch):
+            for out in whole(window)(batch):
+                most = max(np.unique(out.column("key").to_numpy(), return_counts=True)[1], default=0)
+                if most > 30:
+                    raise ValueError("a hot key's runs came to one group")
+                yield out
+
+        return cut
+
+    monkeypatch.setattr(substring_dedup, "_snippets", counted)
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup_words(df, batches=batches, hot=3).collect()}
+    assert got == plain_words([(x.doc_id, x.text) for x in df.collect()])
+
+
 def test_empty_tables(spark):
     assert suffix_dedup.dedup_bytes(empty(frame(spark))).collect() == []
     assert substring_dedup.dedup_words(empty(frame(spark))).collect() == []
