@@ -133,6 +133,12 @@ class Lines(HTMLParser):
             if tag in INLINE and self.stack[i][0] not in INLINE:
                 break
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # an unknown section is a comment up to the next >
+            return self.rawdata.find(">", i + 3) + 1 or -1
+
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.parts.append(data)
@@ -151,11 +157,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Lines()
-    try:
-        page.feed(html)
-        page.close()
-    except (AssertionError, ValueError, RecursionError):  # markup declarations that the parser refuses
-        pass
+    page.feed(html)
+    page.close()
     page.end_line()
     lines = page.lines
     if not lines:

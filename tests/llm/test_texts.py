@@ -37,6 +37,12 @@ def test_html_broken(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+@pytest.mark.parametrize("odd", ["<![foo bar]>", "<![ ]>", "<![1 2>", "<![>", "<![endif]-->", "<!-x>", "<!DOCTYPE [ <!x> ]>"])
+def test_html_reads_on_behind_declarations(odd):
+    text = html_text.main_text(f"<p>a first paragraph</p>{odd}<p>b second paragraph</p><p>c third paragraph</p>")
+    assert text.startswith("a first paragraph") and text.endswith("b second paragraph\n\nc third paragraph")
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 7), (1, "u", PAGE, 7), (2, None, None, None), (None, "v", "<p>" + "a " * 50_000, 1)], "page_id long, url string, html string, n_chars int")
     rows = html_text.extract(df).collect()
