@@ -3,10 +3,13 @@
 The standard library's parser is fed the whole page. Its events are cut into lines at block elements, each with
 its text length, its number of tags and of linked characters, and the elements around it. The ratio of text to
 tags of each line is smoothed with a Gaussian kernel; lines above the threshold (the ratios' standard deviation,
-at most their mean) form clusters, and the region that holds most clustered text is the content: an article or
-main element if the page has one, else the span of the page from the first to the last clustered line. Lines
+at most their mean) form clusters, and the region that holds clustered text is the content: the article or
+main elements if the page has any, else the span of the page from the first to the last clustered line. Lines
 inside that region are kept whole, short ones too, but for page furniture: elements whose name, role, class or id
-says menu, header, footer, sidebar, notice, advert, form or comments, scripts, styles and hidden parts.
+says menu, header, footer, sidebar, notice, advert, form or comments, scripts, styles and hidden parts. With several
+regions all are kept. Class, id and form are only hints, decided on when the page has been read: such an element
+stays if it holds the region with most text or, on a page without regions, more than half of the text; a form also
+if it holds more than half of that region.
 
 Edges: null, empty and text-free pages give an empty text; broken markup never raises: the parser reads on,
 unclosed elements end with their parent; equal rows give equal rows; extra columns are ignored.
@@ -15,6 +18,7 @@ unclosed elements end with their parent; equal rows give equal rows; extra colum
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,7 +31,7 @@ from .common import mapped
 #: HTML element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br picture source map area object embed".split())
-HIDDEN = frozenset("script style noscript template head title iframe svg canvas object audio video nav footer aside form button select textarea input option dialog menu fieldset datalist".split())
+HIDDEN = frozenset("script style noscript template head title iframe svg canvas object audio video nav footer aside button select textarea input option dialog menu fieldset datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip note".split())
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promotion promotions banner banners "
@@ -44,52 +48,82 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SIGMA, HALF = 1.5, 4
 
 
-def furniture(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-    """Whether an element is page furniture; inside: within an article, whose own header is not."""
+#: Kinds of furniture: by hints that what it holds can refute, and for certain.
+HINTED, CERTAIN = 1, 2
+
+
+def furniture(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
+    """Whether an element is page furniture, 0 if not; inside: within an article, whose own header is not."""
     if tag in HIDDEN or tag == "header" and not inside:
-        return True
+        return CERTAIN
+    kind = HINTED if tag == "form" else 0
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return CERTAIN
         if not value or tag in ("html", "body", "main"):
             continue
         if name == "role" and value.strip().lower() in ROLES:
-            return True
+            if tag != "form":
+                return CERTAIN
         if name in ("class", "id"):
             words = {w.lower() for w in _PARTS.findall(value)}
             if words & FURNITURE or not inside and words & HEADS and tag == "div":
-                return True
+                kind = HINTED
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return CERTAIN
+    return kind
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, linked characters, number of the region, 0 for none)."""
+    """Lines of a page: (parts, tags, number of the region, 0 for none); parts: (characters, linked, hinted elements around, innermost region)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.parts: list[str] = []
-        self.tags = self.linked = self.skip = self.links = 0
-        self.stack: list[tuple[str, bool, int]] = []
-        self.region = self.regions = 0
+        self.lines: list[tuple[list, int, int]] = []
+        self.parts: list[tuple[str, bool, tuple[int, ...], int]] = []
+        self.tags = self.skip = self.links = 0
+        self.stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []
+        self.region = self.regions = self.inner = 0
+        self.hints: tuple[int, ...] = ()
+        #: Hinted elements, whether each is a form; by innermost region the hinted elements around it.
+        self.forms: list[bool] = []
+        self.around: dict[int, tuple[int, ...]] = {0: ()}
 
     def end_line(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.lines.append((text, self.tags, self.linked, self.region))
+            self.lines.append((self.parts, self.tags, self.region))
             self.parts = []
-        self.tags = self.linked = 0
+        self.tags = 0
 
     def pop(self, at: int) -> None:
-        for tag, hides, region in reversed(self.stack[at:]):
+        for tag, hides, region, inner, hints in reversed(self.stack[at:]):
             self.skip -= hides
             self.links -= tag == "a"
-            self.region = region
+            self.region, self.inner, self.hints = region, inner, hints
         del self.stack[at:]
 
+    def shown(self) -> list[tuple[str, int, int, int]]:
+        """Lines (text, tags, linked characters, region) without what hinted elements hide."""
+        held, own = Counter(), Counter()  # text by innermost region, by hinted element and region
+        for parts, _, _ in self.lines:
+            for data, _, hints, inner in parts:
+                n = sum(map(len, data.split()))
+                held[inner] += n
+                own.update({(hints[: i + 1], inner): n for i in range(len(hints))})
+        regions = [r for r in held if r and held[r]]
+        top = max(regions, key=lambda r: held[r]) if regions else 0
+        opened = set(self.around[top])
+        for hints, inner in own:
+            if inner == top and 2 * own[hints, inner] > held[top] and (not top or self.forms[hints[-1]]):
+                opened.update(hints)
+        out = []
+        for parts, tags, region in self.lines:
+            seen = [(data, linked) for data, linked, hints, _ in parts if opened.issuperset(hints)]
+            text = " ".join("".join(data for data, _ in seen).split())
+            if text:
+                out.append((text, tags, sum(len(data) for data, linked in seen if linked), region))
+        return out
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.end_line()
@@ -101,17 +135,23 @@ class Lines(HTMLParser):
                     if self.stack[i][0] not in INLINE and self.stack[i][0] != "p":
                         break
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", False, self.hints, self.inner))
         self.tags += 1
         if tag in VOID:
             return
-        hides = bool(self.skip) or furniture(tag, attrs, self.region > 0) if attrs or tag in HIDDEN or tag == "header" else False
-        self.stack.append((tag, hides, self.region))
+        kind = furniture(tag, attrs, self.region > 0) if attrs or tag in HIDDEN or tag in ("header", "form") else 0
+        hides = kind == CERTAIN
+        self.stack.append((tag, hides, self.region, self.inner, self.hints))
         self.skip += hides
         self.links += tag == "a"
-        if not self.region and not self.skip and (tag in REGIONS or attrs and tag in ("div", "section", "td") and self.named(attrs)):
+        if kind == HINTED and not self.skip:
+            self.hints += (len(self.forms),)
+            self.forms.append(tag == "form")
+        if not self.skip and (tag in REGIONS or attrs and tag in ("div", "section", "td") and self.named(attrs)):
             self.regions += 1
-            self.region = self.regions
+            self.inner = self.regions
+            self.region = self.region or self.inner
+            self.around[self.inner] = self.hints
 
     @staticmethod
     def named(attrs: list) -> bool:
@@ -141,9 +181,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+            self.parts.append((data, self.links > 0, self.hints, self.inner))
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -160,19 +198,14 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.end_line()
-    lines = page.lines
+    lines = page.shown()
     if not lines:
         return ""
     ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _, _ in lines], float))
     content = ratio >= min(ratio.std(), ratio.mean())
-    held: dict[int, int] = {}
-    for (text, _, linked, region), good in zip(lines, content.tolist(), strict=True):
-        if region and 2 * linked <= len(text):
-            held[region] = held.get(region, 0) + len(text) * (1 + good)
+    held = {region for text, _, linked, region in lines if region and 2 * linked <= len(text)}
     if held:
-        best = max(held.values())
-        keep = {r for r, n in held.items() if 3 * n >= best}
-        kept = [t for t, _, _, r in lines if r in keep]
+        kept = [t for t, _, _, r in lines if r in held]
     else:
         good = [i for i, (t, _, linked, _) in enumerate(lines) if content[i] and 2 * linked <= len(t)]
         kept = [t for i, (t, _, linked, _) in enumerate(lines) if good and good[0] <= i <= good[-1] and 2 * linked <= len(t)]

@@ -43,6 +43,27 @@ def test_html_reads_on_behind_declarations(odd):
     assert text.startswith("a first paragraph") and text.endswith("b second paragraph\n\nc third paragraph")
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content-sidebar-wrap'><nav>Menu</nav><main>{}</main><div class='sidebar'><p>Side</p></div></div>",
+        "<div class='site has-sidebar'><article>{}</article><div id='comments'><article class='comment'><p>Nice</p></article></div></div>",
+        "<main><div class='with-sidebar'><article>{}</article><div class='related'><article>Other</article></div></div></main>",
+        "<body><form action='x'><div>{}</div></form></body>",
+        "<article><form>{}</form></article>",
+        "<body><div class='site has-sidebar'><div>{}</div><div class='sidebar'>Side</div></div></body>",
+    ],
+)
+def test_html_furniture_words_do_not_hide_the_content(page):
+    lines = [f"Sentence {k} of the page's text has some length, with commas and all." for k in range(5)]
+    assert html_text.main_text(page.format("".join(f"<p>{x}</p>" for x in lines))) == "\n\n".join(lines)
+
+
+def test_html_keeps_all_regions():
+    body = "A long sentence of the page's text, with commas and all. " * 20
+    assert html_text.main_text(f"<div class='entry'><p>A short lead.</p></div><div class='post'><p>{body}</p></div>") == f"A short lead.\n\n{body.strip()}"
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 7), (1, "u", PAGE, 7), (2, None, None, None), (None, "v", "<p>" + "a " * 50_000, 1)], "page_id long, url string, html string, n_chars int")
     rows = html_text.extract(df).collect()
