@@ -1,8 +1,8 @@
 """SpotSigs fingerprints with DataFrame functions only.
 
 A spot is an occurrence of a common word; its signature is the hash of the next two content words (words that
-are not common ones). A text's signature set is sketched by its `KEPT` least hashes of 32 bits; sets up to
-that size are whole. Likeness is the Jaccard coefficient of two sets, over the least hashes of their union.
+are not common ones). A text's signature set is held whole, as hashes of 32 bits. Likeness is the Jaccard
+coefficient of two sets.
 Texts without any spot are represented by their pairs of adjacent words, and by their one word if there is
 one only. The fingerprint is the set's hashes in ascending order, eight hexadecimal digits each.
 
@@ -27,7 +27,6 @@ COMMON = (
     "der die das und ist den dem des von zu mit auf für ein eine einer im nicht sich es als auch an wie "
     "el los las y en una por con para del al lo su no más como"
 ).split()
-KEPT = 128
 ROWS = 4096
 _ANCHOR = "\u0001"
 
@@ -37,8 +36,8 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def spots(text: Column, kept: int = KEPT) -> Column:
-    """The sorted sketch of a text's signature set."""
+def spots(text: Column) -> Column:
+    """A text's signature set, sorted."""
     words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " ")
     common = "|".join(sorted(set(COMMON)))
     marked = F.regexp_replace(F.concat(F.lit(" "), F.trim(words), F.lit(" ")), f" (?:{common})(?= )", " " + _ANCHOR)
@@ -50,7 +49,7 @@ def spots(text: Column, kept: int = KEPT) -> Column:
 
     found = _let(F.split(marked, " " + _ANCHOR), chains)
     hashed = F.transform(F.filter(found, lambda c: c != ""), lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.slice(F.array_sort(F.array_distinct(hashed)), 1, kept)
+    return F.array_sort(F.array_distinct(hashed))
 
 
 def _pairs(text: Column) -> Column:
@@ -60,19 +59,14 @@ def _pairs(text: Column) -> Column:
     return _let(F.split(F.trim(text), " "), adjacent)
 
 
-def fingerprint(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+def fingerprint(signatures: Column) -> Column:
+    return F.array_join(F.transform(signatures, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """Jaccard coefficient of two sketches; sets without a common hash need no union."""
-    common = F.array_intersect(a, b)
-
-    def over(union: Column) -> Column:
-        return F.size(F.array_intersect(common, union)).cast("double") / F.size(union)
-
-    both = _let(F.slice(F.array_sort(F.array_union(a, b)), 1, kept), over)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(F.size(common) == 0, 0.0).otherwise(both)
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard coefficient of two sets."""
+    shared = _let(F.size(F.array_intersect(a, b)), lambda n: n.cast("double") / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(shared)
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
@@ -90,7 +84,7 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
-    """docs (doc_id, text, sketch) with next_text and next_sketch of the following doc_id, the first after the last.
+    """docs (doc_id, text) with next_text of the following doc_id, the first after the last.
 
     Rows are dealt to ranges of doc_id of about `rows` rows; the head of each range is also sent, as a guest,
     to the end of the range before it, so one shuffle by range serves the window.
@@ -103,44 +97,44 @@ def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
         bounds = [x for x in sorted(set(cuts or [])) if x < stats["top"]]
     n = len(bounds) + 1
     ranged = docs.withColumn("bucket", _bucket(F.col("doc_id"), bounds)).withColumn("guest", F.lit(0))
-    row = F.struct("doc_id", "text", "sketch")
+    row = F.struct("doc_id", "text")
     rank = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text"))
     heads = ranged.groupBy("bucket").agg(F.min_by(row, rank).alias("r"))
-    guests = heads.select("r.doc_id", "r.text", "r.sketch", F.pmod(F.col("bucket") - 1, F.lit(n)).alias("bucket"), F.lit(1).alias("guest"))
+    guests = heads.select("r.doc_id", "r.text", F.pmod(F.col("bucket") - 1, F.lit(n)).alias("bucket"), F.lit(1).alias("guest"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ahead = ranged.unionByName(guests).withColumn("ahead", F.lead(F.struct("text", "sketch")).over(w))
-    return ahead.where("guest = 0").select("doc_id", "text", "sketch", F.col("ahead.text").alias("next_text"), F.col("ahead.sketch").alias("next_sketch"))
+    ahead = ranged.unionByName(guests).withColumn("ahead", F.lead(F.struct("text")).over(w))
+    return ahead.where("guest = 0").select("doc_id", "text", F.col("ahead.text").alias("next_text"))
 
 
-def fingerprints(docs: DataFrame, kept: int = KEPT, rows: int = ROWS) -> DataFrame:
+def fingerprints(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """Fingerprints of texts and of edited texts, whose last quarter is the beginning of the next document."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sketch", spots(F.col("text"), kept))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     near = with_next(docs, rows)
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     near = near.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)))
-    near = near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", spots(F.col("edited"), kept).alias("edited_sketch"))
+    near = near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(spots(F.col(c)).alias(f"{c}_set") for c in ("text", "next_text", "edited")))
     return near.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("sketch")).alias("fingerprint"),
-        fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch"), kept).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch"), kept).alias("near_next"),
+        fingerprint(F.col("text_set")).alias("fingerprint"),
+        fingerprint(F.col("edited_set")).alias("edited_fingerprint"),
+        likeness(F.col("text_set"), F.col("edited_set")).alias("near_edited"),
+        likeness(F.col("text_set"), F.col("next_text_set")).alias("near_next"),
     )
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8, kept: int = KEPT) -> DataFrame:
-    """Pairs (a, b, near) of different fingerprints with likeness of the sketches as sets at the threshold or above.
+def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs (a, b, near) of different fingerprints with likeness at the threshold or above.
 
     Equal fingerprints are one class under their least doc_id. A set goes to the partition of its length and, as
     a guest, to the next longer one; only signatures in the set's prefix, the part that a set similar enough
     cannot miss entirely, are joined. Signatures are hashes, so their order is as good as random.
     """
-    sets = docs.select("doc_id", spots(F.col("text"), kept).alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id")).where("size(s) > 0")
+    sets = docs.select("doc_id", spots(F.col("text")).alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id")).where("size(s) > 0")
     size = F.size("s")
     part = F.floor(-F.log(size.cast("double")) / math.log(threshold)).cast("int")
     prefix = F.slice("s", F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)

@@ -245,3 +245,14 @@ def test_near_pairs_match_plain(spark):
     near = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
     want = {(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b]) >= 0.7}
     assert {(r.a, r.b) for r in spot_signatures.near_pairs(df, 0.7).collect()} == want
+
+
+def test_large_signature_sets_are_compared_whole(spark):
+    text = lambda k, more="": " ".join(f"the word{i} after{i}" for i in range(k)) + more
+    sizes = [200, 250, 300, 345]
+    df = spark.createDataFrame([(i, text(n)) for i, n in enumerate(sizes)] + [(4, text(345, " the last two"))], "doc_id long, text string")
+    got = spot_signatures.fingerprints(df).orderBy("doc_id").collect()
+    assert [r.near_next for r in got] == [200 / 250, 250 / 300, 300 / 345, 345 / 346, 200 / 346]
+    assert len({r.fingerprint for r in got}) == 5
+    want = {(a, b) for a, x in enumerate([*sizes, 346]) for b, y in enumerate([*sizes, 346]) if a < b and x / y >= 0.8}
+    assert {(r.a, r.b) for r in spot_signatures.near_pairs(df, 0.8).collect()} == want
