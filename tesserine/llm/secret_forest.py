@@ -1,15 +1,14 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are runs of key-like characters and private-key headers, found in every whole text. Each has features
+Candidates are runs of key-like characters, private-key blocks and what is assigned to key words, found in every whole text. Each has features
 of its own characters (length, kinds of characters and the transitions between them, entropy, share of characters
 that dictionary words and letter pairs cover), of its path (the document's source or path, and path signs around
 it) and of the words before and after. A forest of Gini trees, grown here with numpy, scores it; the labelled
 findings it is trained on come from a seeded generator of secrets and of look-alikes in their contexts (`findings`), or
 from the caller. Candidates that score `KEEP` or more are secrets.
 
-Edges: null and empty texts have no findings; equal candidates are judged place by place; overlapping candidates do not
-occur; a text without digits or key headers is passed over without loss, as every candidate holds one or the
-other; null paths are empty; extra columns are kept.
+Edges: null and empty texts have no findings; equal candidates are judged place by place; overlapping candidates are
+one; null paths are empty; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -32,10 +31,20 @@ from .common import mapped
 
 #: What a candidate may look like.
 CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s\\]*?-----END [A-Z ]*PRIVATE KEY-----)?"
+    # Blocks with header lines or without; where the end is missing, as far as their lines go.
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[nr])*[A-Za-z][A-Za-z\-]*:\x20[^\n\\]*(?:\s|\\[nr])+)*"
+    r"(?:[A-Za-z0-9+/=\s\\]*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:\s|\\[nr])*[A-Za-z0-9+/]{16,}={0,2})*(?:(?:\s|\\[nr])+=?[A-Za-z0-9+/]+={0,2}(?=\s*(?:\n|$)|\\[nr]|[\"'`]))?)"
     r"|(?<![A-Za-z0-9_\-+/=.])[A-Za-z][A-Za-z0-9_\-]*\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
     r"|(?<![A-Za-z0-9_\-+/])(?=[A-Za-z_\-+/]{0,200}[0-9])[A-Za-z0-9_\-+/]{12,}={0,2}"
 )
+#: What is assigned to a key word is a candidate whatever its characters.
+ASSIGNED = re.compile(
+    r"(?:passw(?:or)?d|pwd|secret|token|api[_\-]?key|credentials?|authorization|bearer|(?<![a-z])(?:auth|key|access|private)(?![a-z])|access[_\-]?key|private[_\-]?key)"
+    r"[a-z0-9_\-]{0,24}[\"'`\]]{0,2}\s{0,8}(?::=|=>|==?|:|\bis\b)\s{0,8}(?:(?:bearer|basic)\s{1,8})?"
+    r"(?:\"(?P<a>[^\"\n]{6,})\"|'(?P<b>[^'\n]{6,})'|`(?P<c>[^`\n]{6,})`|(?P<d>[^\s\"'`]{6,}))",
+    re.I,
+)
 #: Words beside secrets, words beside look-alikes, issuers' prefixes.
 KEY_WORDS = frozenset("token secret password passwd pwd apikey api_key key auth authorization bearer credential credentials private access_key secret_key client_secret access".split())
 HARMLESS = frozenset("commit sha sha1 sha256 md5 checksum digest hash etag revision uuid guid id build version integrity hex color order invoice isbn phone card account file image data trace request session".split())
@@ -103,8 +112,23 @@ def features(text: str, start: int, end: int, path: str) -> list[float]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    for m in CANDIDATE.finditer(text):
-        yield m.span()
+    """Places of candidates, ascending; those that overlap are one."""
+    found = [m.span() for m in CANDIDATE.finditer(text)]
+    for m in ASSIGNED.finditer(text):
+        start, end = m.span(m.lastgroup)
+        if m.lastgroup == "d":  # signs that end a clause are not part of the value
+            end = max(start + 6, start + len(m["d"].rstrip(",;")))
+        found.append((start, end))
+    held: list[int] = []
+    for start, end in sorted(found):
+        if held and start < held[1]:
+            held[1] = max(held[1], end)
+        else:
+            if held:
+                yield held[0], held[1]
+            held = [start, end]
+    if held:
+        yield held[0], held[1]
 
 
 @lru_cache(2)
@@ -121,6 +145,13 @@ def findings(n: int = 4000, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         lambda: r.choice(("ghp_", "gho_")) + some(alnum, 36), lambda: "AKIA" + some(string.ascii_uppercase + "234567", 16), lambda: "xoxb-" + some(string.digits, 11) + "-" + some(alnum, 24),
         lambda: "sk_live_" + some(alnum, 24), lambda: "AIza" + some(alnum + "_-", 35), lambda: "eyJ" + some(alnum, 20) + ".eyJ" + some(alnum, 40) + "." + some(alnum + "_-", 43),
         lambda: some(alnum, 8) + r.choice("_-") + some(alnum, 10), lambda: "-----BEGIN RSA PRIVATE KEY-----",
+        lambda: f"-----BEGIN {r.choice(('RSA ', 'EC ', '', 'PGP '))}PRIVATE KEY-----\n" + "\n".join(some(b64, 64) for _ in range(r.randint(1, 20))),
+        lambda: some(string.ascii_letters, r.randint(16, 40)),
+    ]
+    #: Passwords that people choose.
+    chosen = [
+        lambda: word().title() + some(string.digits, r.randint(1, 4)) + r.choice(("!", "?", "#", "")), lambda: word() + some(string.digits, r.randint(1, 3)),
+        lambda: word()[:3].title() + some(string.digits, 1) + word()[:3] + some(string.digits, 1) + word()[:3] + r.choice("&!$%@") + some(alnum, 2), lambda: some(alnum + "!$%&*?#", r.randint(8, 14)),
     ]
     names = ["token", "secret", "password", "api_key", "apiKey", "access_key", "client_secret", "Authorization: Bearer", "auth_token", "private_key", "SECRET_KEY", "passwd"]
     fake = [
@@ -134,8 +165,20 @@ def findings(n: int = 4000, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n):
         good = i % 2 == 0
         value = r.choice(secret if good else fake)()
-        if good:
-            lead = "" if value.startswith("-----") else f"{r.choice(names)}{r.choice((' = ', '=', ': ', ' '))}"
+        if r.random() < 0.2:
+            own = r.choice(names)
+            if good:
+                value = r.choice(chosen)()
+                while len(value) < 6:
+                    value += r.choice(string.digits)
+                lead, q = own + r.choice((" = ", "=", ": ", ":")), r.choice(('"', "'", "", '"'))
+            else:
+                value = r.choice((word() + word(), "required", "string", "changeme", "your_" + own, f"os.environ[{own}]", f"get_{word()}({word()})", f"${{{own.upper()}}}", "self." + own, f"{word()}.{word()}", f"<{own}>", prose(3) + " " + word()))
+                while len(value) < 6:
+                    value += word()
+                lead, q = own + r.choice((" = ", "=", ": ", " is ")), r.choice(('"', "", "", ""))
+        elif good:
+            lead = r.choice(("", "", "see ", "file ", "id ")) if value.startswith("-----") else f"{r.choice(names)}{r.choice((' = ', '=', ': ', ' '))}"
             if value.startswith(("ghp_", "AKIA", "xoxb", "sk_live", "AIza", "eyJ")) and r.random() < 0.5:
                 lead = r.choice(("", "use ", "key "))
             q = r.choice(('"', "'", "", '"'))
@@ -236,14 +279,13 @@ def scanned(docs: DataFrame, path: str = "source", forest: Forest | None = None,
     if any(c in names for c in ("n_candidates", "findings", "clean_text")):
         docs = docs.drop("n_candidates", "findings", "clean_text")
         return scanned(docs, path, forest, keep, mask)
-    digit = re.compile("[0-9]|-----BEGIN")
 
     def look(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         model = forest or trained()
         paths = batch.column(names.index(path)).to_pylist() if path in names else [""] * batch.num_rows
         number, found, clean = [], [], []
         for text, where in zip(batch.column("text").to_pylist(), paths, strict=True):
-            if not text or not digit.search(text):
+            if not text:
                 number.append(0), found.append([]), clean.append(text)
                 continue
             n, spans = scan(text, str(where or ""), model, keep)

@@ -1,5 +1,6 @@
 """HTML text, quality, secrets, packing, mixing, fingerprints and the pipeline."""
 
+import base64
 import hashlib
 import math
 import random
@@ -133,6 +134,32 @@ def test_secrets_in_texts(spark):
     assert secret_forest.scanned(empty(df)).collect() == []
 
 
+BODY = "\n".join(base64.b64encode(hashlib.sha384(bytes([k])).digest()).decode() for k in range(4))
+
+
+@pytest.mark.parametrize(
+    "lead, secret, rest",
+    [
+        ('password = "', "Sommer2024!", '"'),
+        ("passwd: ", "hunter2", " and more"),
+        ('db_password="', "Tr0ub4dor&3x", '"'),
+        ('api_key = "', "QwErTyUiOpAsDfGhJkLzXcVb", '"'),
+        ("", f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x 1\n\n{BODY}\n=aBcD\n-----END PGP PRIVATE KEY BLOCK-----", " end"),
+        ("", f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{BODY}\n-----END RSA PRIVATE KEY-----", " end"),
+        ("see ", f"-----BEGIN RSA PRIVATE KEY-----\n{BODY}\nabcd12", ""),
+    ],
+)
+def test_secrets_of_all_kinds(lead, secret, rest):
+    _, found = secret_forest.scan(lead + secret + rest)
+    assert [(a, b) for a, b, _ in found] == [(len(lead), len(lead) + len(secret))]
+
+
+def test_words_assigned_to_keys_are_judged():
+    for text in ("password = required", "token: string", "the secret is keeping calm"):
+        n, found = secret_forest.scan(text)
+        assert n == 1 and found == []
+
+
 def test_tokens_match_the_library():
     from tokenizers import Tokenizer
 
