@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, return.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch that a function is given at once, about; a single row may be longer.
+PART_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -55,16 +58,27 @@ def unstash(*frames: DataFrame) -> None:
 
 
 def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow of a function of one batch."""
+    """mapInArrow of a function of one batch; batches of long texts are handed on in parts of about `PART_BYTES`."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield from function(batch)
+            step = max(1, int(batch.num_rows * PART_BYTES / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                yield from function(batch.slice(at, step))
+        released()
 
     return df.mapInArrow(run, schema)
 
 
+def released() -> None:
+    """Give free memory of this Python worker back: workers outlive their tasks and keep what they grew."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column and its offsets (rows + 1); nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,22 +1,23 @@
 """Jaccard self-join of documents on word shingles with signature trees.
 
-1. A document's set is hashed (64 bits a shingle); equal sets are one class, whose least doc_id stands for it.
-2. Classes meet by `BANDS` independent minimum hashes. Two sets of similarity s share a given minimum with
-   probability s, so a pair at the threshold 0.8 misses all 24 with probability 0.2**24 < 2e-17, the order of
-   the shingle hashes' own collisions: no link is lost in practice.
-3. Star step: every member of a group is compared with the group's first one. The links give components; a
-   group within one component is settled, however large it is.
-4. Signature trees: in every group that still spans components a tree is built over the members in order of
-   size. Nodes hold OR- and AND-combined token bitmaps and their size range; dual traversal of the tree against
-   itself drops node pairs whose greatest possible overlap is below the threshold or that lie in one
-   component. The components are closed again over what it adds. A hot group (over `HOT` classes) that still
-   spans components is first divided by the same minima once more, with the same odds.
-
-Pairs of both steps are compared exactly, on the whole sets, once they share at least `AGREE` of the 24 minima;
-a linked pair shares fewer with probability below 6e-11.
+1. A first reading counts all shingles in a table of `COUNTERS` counters. Their powers of two order the shingles, rare ones
+   first; every document orders its shingles alike, so the order may be rough and results stay exact.
+2. A document's set is hashed (64 bits a shingle); equal sets are one class, whose least doc_id stands for it. Of a
+   set of n shingles the first n - ceil(0.8 n) + 1 in that order are its prefix: sets similar enough share a
+   shingle of their prefixes, for certain. Passages that many documents share come last and hardly ever meet.
+3. Classes meet by the shingles of their prefixes. Star step: every member of a group is compared with the group's first one.
+   The links give components; a group within one component is settled, however large it is.
+4. Signature trees: groups that still span components are cut into nodes of at most `HOT` members, in order of component and
+   size, with OR- and AND-combined token bitmaps and size ranges. Pairs of nodes are rows of a table; those that lie
+   in one component or whose greatest possible overlap is below the threshold are dropped. Tasks go down each
+   remaining pair of nodes by dual traversal of the trees under them, with the same bounds, to pairs of members.
+
+Pairs of both steps are compared exactly, on the whole sets; nothing depends on odds but the 64-bit hashes of the shingles and
+the 128-bit hashes of the sets. No group is held whole by a task: members stream, frequent shingles are salted.
 
 Edges: null or blank texts: n_shingles 0, linked with nothing; fewer than five words: one shingle, the whole
-sequence; equal rows are copies; documents with a null doc_id are not linked; extra columns are ignored.
+sequence; equal rows are copies; further texts under one doc_id add to its links; documents with a null doc_id are
+not linked; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,96 +26,193 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import components, mapped, stash, texts_of, unstash
+from .common import components, mapped, released, stash, texts_of, unstash
 from .substring_dedup import word_hashes, word_places
 from .suffix_dedup import by_group
 
 WORDS, PERCENT = 5, 80
-BANDS, AGREE = 24, 5
-HOT = 256
+#: Members of a node, which is what a task holds of a group at once (two nodes).
+HOT = 512
+#: Counters of the shingles' frequencies, and the parts in which they travel; their logarithms are broadcast, a byte each.
+COUNTERS, PARTS = 1 << 22, 64
+#: Shingles that occur more often than this, beyond the counters' average, have their members salted.
+SALTED = 1 << 16
+#: Members compared with one copy of the set that stands first.
+SPREAD = 1000
 #: Documents to be fetched are looked up in place, without moving the texts, up to this number.
 FEW = 100_000
 #: Bits of a member's token bitmap.
 BITS = 4096
 LEAF = 16
 CHUNK = 1 << 21
-_SALTS = anchors.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, A-Z lower-cased."""
+def shingle_blocks(column: pa.Array, words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes of all runs of `words` words, running sums, the texts' bounds in words) of blocks of whole texts, A-Z lower-cased."""
     data, offsets = texts_of(column)
-    data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
-    begin, end, at = word_places(data, offsets)
-    symbols = word_hashes(data, begin, end)
     row = 0
     while row < len(offsets) - 1:
-        last = row + max(1, int(np.searchsorted(at[row + 1 :], at[row] + anchors.BLOCK, "right")))
-        base = at[row]
-        total = anchors.sums(symbols[base : at[last]])
-        n = len(total) - 1
-        start = np.arange(max(0, n - words + 1))
-        hashes = anchors.spans(total, start, start + words)
-        for r in range(row, last):
-            lo, hi = at[r] - base, at[r + 1] - base
+        last = row + max(1, int(np.searchsorted(offsets[row + 1 :], offsets[row] + 4 * anchors.BLOCK, "right")))
+        part = data[offsets[row] : offsets[last]]
+        part = part + np.where((part >= 65) & (part <= 90), np.uint8(32), np.uint8(0))
+        begin, end, at = word_places(part, offsets[row : last + 1] - offsets[row])
+        total = anchors.sums(word_hashes(part, begin, end))
+        start = np.arange(max(0, len(total) - words))
+        yield anchors.spans(total, start, start + words), total, at
+        row = last
+
+
+def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, A-Z lower-cased."""
+    for hashes, total, at in shingle_blocks(column, words):
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if hi - lo >= words:
                 yield np.unique(hashes[lo : hi - words + 1])
             elif hi > lo:
                 yield anchors.spans(total, np.array([lo]), np.array([hi]))
             else:
                 yield np.zeros(0, np.uint64)
-        row = last
 
 
-def minima(tokens: np.ndarray, bands: int) -> np.ndarray:
-    out = np.empty(bands, np.uint64)
-    for i in range(bands):
-        h = (tokens ^ _SALTS[i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        out[i] = h[np.argmin(h ^ (h >> np.uint64(29)))]
-    return anchors.mix(out + np.arange(bands, dtype=np.uint64))
+def _counter(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return (hashes % np.uint64(counters)).astype(np.int64)
+
+
+def frequencies(docs: DataFrame, words: int = WORDS, counters: int = COUNTERS) -> np.ndarray:
+    """The binary logarithm of the count of the shingles that fall on each counter, over all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = None
+        for batch in batches:
+            for hashes, _, _ in shingle_blocks(batch.column("text"), words):
+                counts = np.zeros(counters, np.uint32) if counts is None else counts
+                at, n = np.unique(_counter(hashes, counters), return_counts=True)
+                counts[at] += n.astype(np.uint32)
+        if counts is not None:
+            for i, part in enumerate(np.split(counts, PARTS)):
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], ["part", "counts"])
+        released()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                found = np.frombuffer(pa.decompress(raw, 4 * counters // PARTS, "zstd", asbytes=True), np.uint32)
+                sums[i] = sums[i] + found if i in sums else found.astype(np.uint64)
+        for i, found in sums.items():
+            level = np.ceil(np.log2(found + 1.0)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([level.tobytes()], pa.binary())], ["part", "level"])
+
+    counted = docs.select("text").mapInArrow(count, "part long, counts binary")
+    out = np.zeros((PARTS, counters // PARTS), np.uint8)
+    for r in counted.repartition("part").mapInArrow(add, "part long, level binary").collect():  # a byte for each counter
+        out[r["part"]] = np.frombuffer(r["level"], np.uint8)
+    return out.ravel()
+
+
+def prefix_size(n: int, percent: int = PERCENT) -> int:
+    """How many of a set's first shingles a set similar enough cannot miss entirely."""
+    return n - -(-percent * n // 100) + 1
 
 
-def _signed(words: int, bands: int):
+def _signed(words: int, percent: int, held):
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        size, one, two, least, bits = [], [], [], [], []
-        for tokens in shingle_sets(batch.column("text"), words):
-            size.append(len(tokens))
-            bits.append(bitmap(tokens).tobytes())
-            if len(tokens):
-                one.append(int(np.bitwise_xor.reduce(anchors.mix(tokens)).view(np.int64)))
-                two.append(int(np.add.reduce(anchors.mix(tokens ^ np.uint64(0x1234567))).view(np.int64)))
-                least.append(minima(tokens, bands).view(np.int64))
-            else:
-                one.append(None), two.append(None), least.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-            ["doc_id", "size", "one", "two", "least", "bits"],
-        )
+        level = np.frombuffer(held.value, np.uint8)
+        for at in range(0, batch.num_rows, 1024):
+            size, one, two, prefix = [], [], [], []
+            part = batch.slice(at, 1024)
+            for tokens in shingle_sets(part.column("text"), words):
+                size.append(len(tokens))
+                if len(tokens):
+                    one.append(int(np.bitwise_xor.reduce(anchors.mix(tokens)).view(np.int64)))
+                    two.append(int(np.add.reduce(anchors.mix(tokens ^ np.uint64(0x1234567))).view(np.int64)))
+                    order = np.argsort(level[_counter(tokens, len(level))], kind="stable")
+                    prefix.append(tokens[order[: prefix_size(len(tokens), percent)]].view(np.int64))
+                else:
+                    one.append(None), two.append(None), prefix.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["doc_id", "size", "one", "two", "prefix"],
+            )
 
     return sign
 
 
+def _met(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows (key, salt, rep) in that order, to (key, rep, lead) of keys that two or more hold; lead is the first under key and salt.
+
+    The key of a group that was seen whole is the hash of its members, so that groups of the same members are one.
+    Groups over `most` rows stream and keep their key, as do salted ones.
+    """
+    held = None  # rows of the last group, not yet ended
+    lead = None  # (key, salt, lead) while a large group streams
+
+    def group(k: np.ndarray, s: np.ndarray, r: np.ndarray) -> pa.RecordBatch | None:
+        edge = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]))))
+        n = np.diff(np.append(edge, len(k)))
+        first = np.repeat(r[edge], n)
+        members = np.add.reduceat(anchors.mix(r.view(np.uint64)), edge).view(np.int64)
+        name = np.repeat(np.where(s[edge] >= 0, k[edge], members), n)
+        keep = np.repeat((n > 1) | (s[edge] >= 0), n)
+        if keep.any():
+            return pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(r[keep]), pa.array(first[keep])], ["key", "rep", "lead"])
+
+    for batch in batches:
+        rows = [batch.column(c).to_numpy() for c in ("key", "salt", "rep")]
+        if not len(rows[0]):
+            continue
+        if lead is not None:
+            same = (rows[0] == lead[0]) & (rows[1] == lead[1])
+            n = int(same.sum())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0][:n]), pa.array(rows[2][:n]), pa.array(np.full(n, lead[2]))], ["key", "rep", "lead"])
+                rows = [x[n:] for x in rows]
+            if not len(rows[0]):
+                continue
+            lead = None
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        last = int(np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))[-1:].max(initial=-1)) + 1
+        if last:
+            out = group(*(x[:last] for x in rows))
+            if out is not None:
+                yield out
+        held = [x[last:] for x in rows]
+        if len(held[0]) > most:
+            lead = (held[0][0], held[1][0], held[2][0])
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[2]), pa.array(np.full(len(held[0]), lead[2]))], ["key", "rep", "lead"])
+            held = None
+    if held is not None:
+        out = group(*held)
+        if out is not None:
+            yield out
+
+
 def _packed(words: int):
-    """The whole sets as bytes: 48 bits a shingle, sorted."""
+    """The whole sets as bytes: 64 bits a shingle, sorted."""
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = [np.ascontiguousarray((t >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for t in shingle_sets(batch.column("text"), words)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            sets = [t.tobytes() for t in shingle_sets(part.column("text"), words)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "tokens"])
 
     return pack
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, :6] = part
-    return out.view(np.uint64).ravel()
+def _mapped_bits(words: int):
+    def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            sets = list(shingle_sets(part.column("text"), words))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([bitmap(t).tobytes() for t in sets], pa.binary())], ["rep", "size", "bits"])
+
+    return pack
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -127,20 +225,45 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _verified(percent: int):
-    def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = [linked(unpacked(x.as_buffer()), unpacked(y.as_buffer()), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-        kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        if kept.num_rows:
-            yield kept
+    """Rows (a, part, own, rep, tokens), a's own row first under a and part, to pairs (a, b) that are similar enough."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        under, mine = None, []
+        for batch in batches:
+            a, b = [], []
+            for key, part, own, rep, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "own", "rep")), batch.column("tokens"), strict=True):
+                if own:
+                    if under != (key, part):
+                        under, mine = (key, part), []
+                    mine.append(np.frombuffer(bytes(raw.as_buffer()), np.uint64))
+                elif any(linked(x, np.frombuffer(raw.as_buffer(), np.uint64), percent) for x in mine):
+                    a.append(key), b.append(rep)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return verify
 
 
-def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough."""
-    x = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return mapped(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y"), _verified(percent), "a long, b long")
+def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int, spread: int = SPREAD) -> DataFrame:
+    """Those pairs (a, b) whose sets are similar enough. One copy of a's set goes to every `spread` of its partners."""
+    many = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("b"), F.expr(f"n div {spread} + 1")).cast("int")
+    dealt = stash(pairs.join(many.hint("merge"), "a").select("a", "b", part.alias("part")), "dealt")
+    guests = dealt.select("a", "part", F.lit(False).alias("own"), F.col("b").alias("rep"))
+    needs = guests.union(dealt.select("a", "part").distinct().select("a", "part", F.lit(True), "a"))
+    sets = mapped(_texts(docs, needs.select("rep").distinct()), _packed(words), "rep long, tokens binary")
+    rows = needs.join(sets.hint("merge"), "rep").select("a", "part", "own", "rep", "tokens")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("own"))
+    found = stash(rows.mapInArrow(_verified(percent), "a long, b long"), "links")
+    unstash(dealt)
+    return found
+
+
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The documents named by needed (rep)."""
+    needed = needed.select(F.col("rep").alias("doc_id"))
+    few = needed.limit(FEW + 1).count() <= FEW
+    return docs.join(F.broadcast(needed) if few else needed.hint("merge"), "doc_id", "left_semi")
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -152,10 +275,9 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 class SignatureTree:
     """Members in order of size under nodes of two; a node's OR and AND bitmaps, size range and component (-1: several)."""
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray, comps: np.ndarray, minima: np.ndarray | None = None):
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, comps: np.ndarray):
         order = np.argsort(sizes, kind="stable")
         self.order, self.maps, self.sizes, self.comps = order, maps[order], sizes[order], comps[order]
-        self.minima = None if minima is None else minima[order]
         self.nodes: dict[tuple[int, int], tuple] = {}
         self.build(0, len(order))
 
@@ -170,18 +292,19 @@ class SignatureTree:
         self.nodes[lo, hi] = node
         return node
 
-    def pairs(self, percent: int) -> Iterator[tuple[int, int]]:
-        """Members of different components whose overlap may reach the threshold."""
-        n = len(self.order)
-        todo = [((0, n), (0, n))]
+    def pairs(self, percent: int, other: SignatureTree | None = None) -> Iterator[tuple[int, int]]:
+        """Members of different components, of this tree or of this and the other, whose overlap may reach the threshold."""
+        right = other or self
+        todo = [((0, len(self.order)), (0, len(right.order)))]
         while todo:
             a, b = todo.pop()
-            x, y = self.nodes[a], self.nodes[b]
-            if a != b and hopeless(x, y, percent) or x[4] >= 0 and x[4] == y[4]:
+            x, y = self.nodes[a], right.nodes[b]
+            own = other is None and a == b
+            if not own and hopeless(x, y, percent) or x[4] >= 0 and x[4] == y[4]:
                 continue
             if a[1] - a[0] <= LEAF and b[1] - b[0] <= LEAF:
-                yield from self.leaves(a, b, percent)
-            elif a == b:
+                yield from self.leaves(right, a, b, percent, own)
+            elif own:
                 mid = (a[0] + a[1]) // 2
                 todo += [((a[0], mid), (a[0], mid)), ((a[0], mid), (mid, a[1])), ((mid, a[1]), (mid, a[1]))]
             elif a[1] - a[0] >= b[1] - b[0]:
@@ -191,25 +314,22 @@ class SignatureTree:
                 mid = (b[0] + b[1]) // 2
                 todo += [(a, (b[0], mid)), (a, (mid, b[1]))]
 
-    def leaves(self, a: tuple[int, int], b: tuple[int, int], percent: int) -> Iterator[tuple[int, int]]:
-        m, k = self.maps[a[0] : a[1], None], self.maps[None, b[0] : b[1]]
-        s, t = self.sizes[a[0] : a[1], None], self.sizes[None, b[0] : b[1]]
-        most = np.minimum(s - np.bitwise_count(m & ~k).sum(2), t - np.bitwise_count(k & ~m).sum(2))
-        good = (100 * most >= percent * (s + t - most)) & (self.comps[a[0] : a[1], None] != self.comps[None, b[0] : b[1]])
-        i, j = (x + y[0] for x, y in zip(np.nonzero(good), (a, b), strict=True))
-        one = i < j
-        if self.minima is not None:
-            one &= (self.minima[i] == self.minima[j]).sum(1) >= AGREE
-        yield from zip(self.order[i[one]].tolist(), self.order[j[one]].tolist(), strict=True)
+    def leaves(self, right: SignatureTree, a: tuple[int, int], b: tuple[int, int], percent: int, own: bool) -> Iterator[tuple[int, int]]:
+        m, k = self.maps[a[0] : a[1], None], right.maps[None, b[0] : b[1]]
+        s, t = self.sizes[a[0] : a[1], None], right.sizes[None, b[0] : b[1]]
+        most = np.minimum(s - np.bitwise_count(m & ~k).sum(2, dtype=np.int64), t - np.bitwise_count(k & ~m).sum(2, dtype=np.int64))
+        good = (100 * most >= percent * (s + t - most)) & (self.comps[a[0] : a[1], None] != right.comps[None, b[0] : b[1]])
+        i, j = np.nonzero(good)
+        if own:
+            i, j = i[i < j], j[i < j]
+        yield from zip(self.order[i + a[0]].tolist(), right.order[j + b[0]].tolist(), strict=True)
 
 
-def alike(maps, sizes, comps, minima, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those pairs (i, j) of different components whose bitmaps and minima leave the threshold within reach."""
+def alike(maps, sizes, comps, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs (i, j) of different components whose sizes and bitmaps leave the threshold within reach."""
     low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
     keep = (comps[i] != comps[j]) & (100 * low >= percent * high)
     i, j = i[keep], j[keep]
-    keep = (minima[i] == minima[j]).sum(1) >= AGREE
-    i, j = i[keep], j[keep]
     m, k = maps[i], maps[j]
     most = np.minimum(sizes[i] - np.bitwise_count(m & ~k).sum(1, dtype=np.int64), sizes[j] - np.bitwise_count(k & ~m).sum(1, dtype=np.int64))
     keep = 100 * most >= percent * (sizes[i] + sizes[j] - most)
@@ -225,94 +345,169 @@ def hopeless(x: tuple, y: tuple, percent: int) -> bool:
     return 100 * most < percent * (x[2] + y[2] - most)
 
 
+def _noded(most: int):
+    """Members of open groups in order of (key, component, size), to the same with the node that they lie in."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, key, comp, n = TaskContext.get().partitionId() << 40, None, None, 0
+        for batch in batches:
+            nodes = []
+            for k, c in zip(batch.column("key").to_pylist(), batch.column("component").to_pylist(), strict=True):
+                # A component that fills nodes of its own does not share them: such nodes are settled among themselves.
+                if k != key or n >= most or c != comp and n >= most // 2:
+                    node, key, n = node + 1, k, 0
+                comp, n = c, n + 1
+                nodes.append(node)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*batch.schema.names, "node"])
+
+    return cut
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members in order of node, to a row for each node: key, sizes, components and bitmaps."""
+
+    def solve(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(rows)
+        node, maps = t.column("key").to_numpy(), _maps(t)
+        edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        size, comp = t.column("size").to_numpy(), t.column("component").to_numpy()
+        held = [np.minimum.reduceat(size, edge), np.maximum.reduceat(size, edge), np.minimum.reduceat(comp, edge), np.maximum.reduceat(comp, edge)]
+        some, every = np.bitwise_or.reduceat(maps, edge), np.bitwise_and.reduceat(maps, edge)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(node[edge]), pa.array(t.column("group").to_numpy()[edge]), *map(pa.array, held), pa.array([x.tobytes() for x in some], pa.binary()), pa.array([x.tobytes() for x in every], pa.binary())],
+            ["node", "key", "least", "most", "low", "high", "some", "every"],
+        )
+
+    yield from by_group(batches, solve, CHUNK)
+
+
+def _maps(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(t), -1)
+
+
+def _hopeful(percent: int):
+    """Pairs of nodes whose members may be similar enough."""
+
+    def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        bits = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("some1", "every1", "some2", "every2")]
+        sizes = [batch.column(c).to_pylist() for c in ("least1", "most1", "least2", "most2")]
+        good = [not hopeless((a, b, i, j), (c, d, k, m), percent) for a, b, c, d, i, j, k, m in zip(*bits, *sizes, strict=True)]
+        yield batch.select(["node1", "node2"]).filter(pa.array(good, pa.bool_()))
+
+    return keep
+
+
 def _traversed(percent: int):
+    """Rows (key, side, rep, size, component, bits) of pairs of nodes, side 0 alone where a node meets itself, to pairs (a, b)."""
+
     def solve(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
-        key, ids = t.column("key").to_numpy(), t.column("doc_id").to_numpy()
-        maps = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
-        sizes, comps = t.column("size").to_numpy(), t.column("component").to_numpy()
-        minima = t.column("minima").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+        key, side, ids = t.column("key").to_numpy(), t.column("side").to_numpy(), t.column("rep").to_numpy()
+        maps, sizes, comps = _maps(t), t.column("size").to_numpy(), t.column("component").to_numpy()
         edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        a, b = [], []
-        count = np.diff(edges)
-        for n in np.unique(count[(count > 1) & (count <= LEAF)]).tolist():  # trees of one leaf, all of a size together
-            first = edges[:-1][count == n]
+        count, double = np.diff(edges), np.add.reduceat(side, edges[:-1]) > 0
+
+        def out(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        single = (count > 1) & (count <= LEAF) & ~double
+        for n in np.unique(count[single]).tolist():  # trees of one leaf, all of a size together
+            first = edges[:-1][single & (count == n)]
             i, j = (x[None] for x in np.triu_indices(n, 1))
             i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-            for at in range(0, len(i), 100_000):
-                x, y = alike(maps, sizes, comps, minima, i[at : at + 100_000], j[at : at + 100_000], percent)
-                x, y = ids[x], ids[y]
+            for at in range(0, len(i), 20_000):
+                x, y = alike(maps, sizes, comps, i[at : at + 20_000], j[at : at + 20_000], percent)
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-        for lo, hi in zip(edges[:-1][count > LEAF].tolist(), edges[1:][count > LEAF].tolist(), strict=True):
-            for i, j in SignatureTree(maps[lo:hi], sizes[lo:hi], comps[lo:hi], minima[lo:hi]).pairs(percent):
-                x, y = int(ids[lo + i]), int(ids[lo + j])
-                a.append(min(x, y)), b.append(max(x, y))
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    yield out(ids[x], ids[y])
+        for lo, hi in zip(edges[:-1][(count > LEAF) | double].tolist(), edges[1:][(count > LEAF) | double].tolist(), strict=True):
+            mid = lo + int((side[lo:hi] == 0).sum())
+            trees = [SignatureTree(maps[x:y], sizes[x:y], comps[x:y]) for x, y in ((lo, mid), (mid, hi)) if y > x]
+            found = np.array(list(trees[0].pairs(percent, *trees[1:])), np.int64).reshape(-1, 2)
+            if len(found):
+                yield out(ids[lo + found[:, 0]], ids[(lo if len(trees) == 1 else mid) + found[:, 1]])
 
     return lambda batches: by_group(batches, solve, CHUNK)
 
 
-def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def _residual(groups: DataFrame, settled: DataFrame, docs: DataFrame, words: int, percent: int, hot: int) -> DataFrame:
+    """Pairs (a, b) of different components that dual traversal of the open groups' trees leaves."""
+    rows = groups.where("rep <> lead").union(groups.join(_led_twice(groups).hint("merge"), "key").where("rep = lead").select(groups.columns))
+    member = rows.join(settled.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    member = stash(member.distinct(), "members")
+    spread = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    opened = stash(member.join(spread.hint("merge"), "key", "left_semi"), "open")
+    unstash(member)
+    bits = mapped(_texts(docs, opened.select("rep").distinct()), _mapped_bits(words), "rep long, size long, bits binary")
+    ranged = opened.join(bits.hint("merge"), "rep").repartitionByRange("key", "component", "size", "rep").sortWithinPartitions("key", "component", "size", "rep")
+    noded = stash(ranged.select("rep", "key", "component", "size", "bits").mapInArrow(_noded(hot), "rep long, key long, component long, size long, bits binary, node long"), "noded")
+    # Nodes of groups that have several meet as rows of a table; a node always meets itself.
+    several = noded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
+    parted = noded.join(several.hint("merge"), "key", "left_semi").select(F.col("node").alias("key"), F.col("key").alias("group"), "size", "component", "bits")
+    nodes = parted.repartition("key").sortWithinPartitions("key").mapInArrow(_summed, "node long, key long, least long, most long, low long, high long, some binary, every binary")
+    nodes = stash(nodes, "nodes")
+    left, right = (nodes.select("key", *(F.col(c).alias(f"{c}{i}") for c in nodes.columns if c != "key")) for i in (1, 2))
+    sizes = (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1"))
+    apart = (F.col("low1") < F.col("high1")) | (F.col("low2") < F.col("high2")) | (F.col("low1") != F.col("low2"))
+    both = mapped(left.join(right.hint("merge"), "key").where(F.col("node1") < F.col("node2")).where(sizes & apart), _hopeful(percent), "node1 long, node2 long")
+    name = F.xxhash64("node1", "node2").alias("key")
+    sides = both.select(name, F.posexplode(F.array("node1", "node2")).alias("side", "node"))
+    alone = noded.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select(F.col("node").alias("key"), F.lit(0).alias("side"), "node")
+    meeting = noded.select("node", "rep", "size", "component", "bits").join(sides.union(alone).hint("merge"), "node").select("key", "side", "rep", "size", "component", "bits")
+    pairs = meeting.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_traversed(percent), "a long, b long").distinct()
+    out = stash(pairs, "pairs")
+    unstash(opened, noded, nodes)
+    return out
+
+
+def _led_twice(groups: DataFrame) -> DataFrame:
+    """Keys whose members have several leads, as salted ones have."""
+    return groups.groupBy("key").agg(F.min("lead").alias("top"), F.max("lead").alias("x")).where("top < x").select("key", "top")
+
+
+def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: int = HOT, salted: int = SALTED, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame]:
     """(signed documents doc_id, size, rep; components of representatives node, component)."""
     docs = docs.select("doc_id", "text")
-    signed = stash(mapped(docs, _signed(words, bands), "doc_id long, size long, one long, two long, least array<long>, bits binary"), "signed")
+    level = frequencies(docs, words, counters)
+    held = docs.sparkSession.sparkContext.broadcast(level.tobytes())
+    signed = stash(mapped(docs, _signed(words, percent, held), "doc_id long, size long, one long, two long, prefix array<long>"), "signed")
     known = signed.where("size > 0 and doc_id is not null")
-    picked = known.groupBy("one", "two", "size").agg(F.min("doc_id").alias("rep"), F.first("least").alias("least"), F.first("bits").alias("bits"))
-    classes = stash(picked, "classes")
-    meets = classes.select("rep", F.explode("least").alias("key"))
-    counted = _counted(meets)
-    groups = stash(meets.join(counted.select("key", "lead").hint("merge"), "key").select("key", "rep", "lead"), "groups")
-    stars = groups.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    near = stash(_agreeing(stars, classes, percent), "stars")
-    first = stash(_exact(near, _sets(docs, near, words), percent), "links")
+    classes = stash(known.groupBy("one", "two", "size").agg(F.min("doc_id").alias("rep")), "classes")
+    meets = known.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("key"))
+    groups = stash(_grouped(meets, level, salted), "groups")
+    tops = groups.join(_led_twice(groups).hint("merge"), "key").where("lead > top").select(F.col("top").alias("a"), F.col("lead").alias("b"))
+    stars = groups.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).union(tops).distinct()
+    near = stash(_sized(stars, classes, percent), "stars")
+    first = _exact(near, docs, words, percent)
     settled = components(first)
-    member = groups.join(settled.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_groups = stash(_open(member), "open")
-    small = open_groups.where(F.col("n") <= hot).select("key", "rep", "component")
-    # Hot groups are divided by the minima once more; sets similar enough share one of these as well.
-    again = open_groups.where(F.col("n") > hot).join(classes.select("rep", F.explode("least").alias("second")).hint("merge"), "rep").where("second <> key")
-    finer = again.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "rep", "component").distinct()
-    residual = small.union(_open(finer).select("key", "rep", "component"))
-    signs = classes.select("rep", "size", "bits", F.transform("least", lambda x: F.shiftright(x, 32).cast("int")).alias("minima"))
-    residual = residual.join(signs.hint("merge"), "rep").withColumnRenamed("rep", "doc_id")
-    pairs = residual.repartition("key").sortWithinPartitions("key").mapInArrow(_traversed(percent), "a long, b long").distinct()
+    pairs = _residual(groups, settled, docs, words, percent, hot)
     left = stash(pairs.join(near, ["a", "b"], "left_anti"), "pairs")
-    rest = stash(_exact(left, _sets(docs, left, words), percent), "links")
+    rest = _exact(left, docs, words, percent)
     final = settled if rest.isEmpty() else components(first.union(rest))
-    unstash(groups, open_groups, near, left)
-    return signed.join(classes.select("one", "two", "size", "rep"), ["one", "two", "size"], "left").select("doc_id", "size", "rep"), final
-
-
-def _counted(meets: DataFrame) -> DataFrame:
-    """Keys under which two or more meet, with their number and the first of them."""
-    return meets.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
-
-
-def _open(member: DataFrame) -> DataFrame:
-    """Members (key, rep, component, n) of groups that span components; n is the group's size."""
-    spread = member.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-    return member.join(spread.where("x < y").select("key", "n").hint("merge"), "key").select("key", "rep", "component", "n")
-
-
-def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those pairs whose sizes and minima leave the threshold within reach."""
-    x = classes.select(F.col("rep").alias("a"), F.col("size").alias("m"), F.col("least").alias("x"))
-    y = classes.select(F.col("rep").alias("b"), F.col("size").alias("n"), F.col("least").alias("y"))
-    fits = (100 * F.least("m", "n") >= percent * F.greatest("m", "n")) & (F.size(F.array_intersect("x", "y")) >= AGREE)
-    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(fits).select("a", "b")
-
-
-def _sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The whole shingle sets of the documents in the pairs."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    few = needed.limit(FEW + 1).count() <= FEW
-    texts = docs.join(F.broadcast(needed) if few else needed.hint("merge"), "doc_id", "left_semi")
-    return mapped(texts, _packed(words), "doc_id long, tokens binary")
+    unstash(groups, near, pairs, left)
+    return signed.join(classes, ["one", "two", "size"], "left").select("doc_id", "size", "rep"), final
+
+
+def _grouped(meets: DataFrame, level: np.ndarray, salted: int) -> DataFrame:
+    """Members (key, rep, lead) of the keys that two or more hold. Frequent keys are salted by their members."""
+    often = 2.0**level
+    bound = salted + 2 * float(often.mean())
+    hot = np.flatnonzero(often > 2 * bound)
+    salt = F.lit(-1)
+    if len(hot):  # at most a row for each counter
+        table = meets.sparkSession.createDataFrame([(int(c), int(often[c] // bound)) for c in hot], "counter long, salts int")
+        n = len(level)  # a power of two, so the low bits of the key as it is signed
+        meets = meets.join(F.broadcast(table), F.col("key").bitwiseAND(F.lit(n - 1)) == F.col("counter"), "left")
+        salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).otherwise(-1)
+    rows = meets.select("key", salt.alias("salt"), "rep")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "rep").mapInArrow(_met, "key long, rep long, lead long")
+
+
+def _sized(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose sizes leave the threshold within reach; a doc_id with several texts has several sizes."""
+    x = classes.select(F.col("rep").alias("a"), F.col("size").alias("m"))
+    y = classes.select(F.col("rep").alias("b"), F.col("size").alias("n"))
+    fits = 100 * F.least("m", "n") >= percent * F.greatest("m", "n")
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(fits).select("a", "b").distinct()
 
 
 def join_components(docs: DataFrame, **options) -> DataFrame:

@@ -56,6 +56,36 @@ def test_hot_groups_are_divided(spark):
     assert got == plain(data)
 
 
+def test_salted_shingles(spark):
+    df = frame(spark, variants(3))
+    data = [(r.doc_id, r.text) for r in df.collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(df, hot=5, salted=0).collect()}
+    assert got == plain(data)
+
+
+def test_group_of_near_copies_and_a_shared_passage(spark):
+    r = random.Random(4)
+    base, passage = [f"b{i}" for i in range(60)], [f"p{i}" for i in range(40)]
+    rows = [" ".join(base)]
+    for i in range(4000):
+        v = list(base)
+        v[i % 60] = f"e{i}"
+        rows.append(" ".join(v))
+    rows += [" ".join([*(f"o{i}_{k}" for k in range(30)), *passage, *(f"o{i}_{k}" for k in range(30, 60))]) for i in range(2000)]
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    df = frame(spark, [rows[i] for i in order])
+    least = 3 * min(at for at, i in enumerate(order) if i <= 4000)
+    got = {x.doc_id: x.component_id for x in jaccard_join.join_components(df).collect()}
+    assert got == {3 * at: least if i <= 4000 else 3 * at for at, i in enumerate(order)}
+
+
+def test_prefixes_cannot_miss():
+    for n in range(1, 200):
+        p = jaccard_join.prefix_size(n)
+        assert 100 * (n - p) < 80 * n <= 100 * (n - p + 1)
+
+
 def test_edges(spark):
     df = frame(spark, ["a b c d e f", "a b c d e f", None, "", "x", "X", "p q", "p q r"])
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(df.union(df.limit(1))).collect()}
