@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -70,6 +71,22 @@ def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def as_rows(docs: DataFrame) -> DataFrame:
+    """docs as one column `row`, so that columns of any name stand beside an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def with_own(rows: DataFrame, *own: str) -> DataFrame:
+    """The columns of `row` and an operator's own ones; of columns with one name the operator's stays."""
+    taken = {c.lower() for c in own}
+    return rows.select(*(F.col(f"row.`{c}`") for c in rows.schema["row"].dataType.names if c.lower() not in taken), *own)
+
+
+def field(schema_row: T.StructType, name: str) -> int:
+    """The place of a column among the row's fields, by name as Spark compares it; -1 if there is none."""
+    return next((i for i, c in enumerate(schema_row.names) if c.lower() == name.lower()), -1)
+
+
 def released() -> None:
     """Give free memory of this Python worker back: workers outlive their tasks and keep what they grew."""
     pa.default_memory_pool().release_unused()
@@ -93,6 +110,60 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def with_turn(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with turn, the number of the text among the different ones under its doc_id: 0 but for repeated doc_ids."""
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    twice = docs.select("doc_id", digest.alias("h")).groupBy("doc_id").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y and doc_id is not null")
+    if twice.isEmpty():
+        return docs.select("doc_id", "text", F.lit(0).alias("turn"))
+    hashed = docs.select("doc_id", "text", digest.alias("h"))
+    several = hashed.join(twice.select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "h").distinct()
+    turns = several.select("doc_id", "h", (F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1).alias("turn"))
+    return hashed.join(turns.hint("merge"), ["doc_id", "h"], "left").select("doc_id", "text", F.coalesce("turn", F.lit(0)).alias("turn"))
+
+
+def word_counters(frames: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], counters: int, parts: int = 64) -> np.ndarray:
+    """The binary logarithm, rounded up, of the number of 64-bit hashes that fall on each counter, over all rows of frames.
+
+    counters is a power of two and bounds what comes to the driver: a byte each. Every task sends its own sums.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = None
+        for batch in batches:
+            step = max(1, int(batch.num_rows * PART_BYTES / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                for found in hashes(batch.slice(at, step)):
+                    counts = np.zeros(counters, np.uint32) if counts is None else counts
+                    where, n = np.unique(counter_of(found, counters), return_counts=True)
+                    counts[where] += n.astype(np.uint32)
+        if counts is not None:
+            for i, part in enumerate(np.split(counts, parts)):
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], ["part", "counts"])
+        counts = None
+        released()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                found = np.frombuffer(pa.decompress(raw, 4 * counters // parts, "zstd", asbytes=True), np.uint32)
+                sums[i] = sums[i] + found if i in sums else found.astype(np.uint64)
+        for i, found in sums.items():
+            level = np.ceil(np.log2(np.maximum(found, 1))).astype(np.uint8) + (found > 0)
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([level.tobytes()], pa.binary())], ["part", "level"])
+
+    counted = frames.mapInArrow(count, "part long, counts binary").repartition("part").mapInArrow(add, "part long, level binary")
+    out = np.zeros((parts, counters // parts), np.uint8)
+    for r in counted.collect():
+        out[r["part"]] = np.frombuffer(r["level"], np.uint8)
+    return out.ravel()
+
+
+def counter_of(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return (hashes & np.uint64(counters - 1)).astype(np.int64)
+
+
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text as an array; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")

@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import components, mapped, released, stash, texts_of, unstash
+from .common import components, counter_of, mapped, stash, texts_of, unstash, word_counters
 from .substring_dedup import word_hashes, word_places
 from .suffix_dedup import by_group
 
 WORDS, PERCENT = 5, 80
 #: Members of a node, which is what a task holds of a group at once (two nodes).
 HOT = 512
-#: Counters of the shingles' frequencies, and the parts in which they travel; their logarithms are broadcast, a byte each.
-COUNTERS, PARTS = 1 << 22, 64
+#: Counters of the shingles' frequencies; their logarithms are broadcast, a byte each.
+COUNTERS = 1 << 22
 #: Shingles that occur more often than this, beyond the counters' average, have their members salted.
 SALTED = 1 << 16
 #: Members compared with one copy of the set that stands first.
@@ -79,40 +79,9 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _counter(hashes: np.ndarray, counters: int) -> np.ndarray:
-    return (hashes % np.uint64(counters)).astype(np.int64)
-
-
 def frequencies(docs: DataFrame, words: int = WORDS, counters: int = COUNTERS) -> np.ndarray:
-    """The binary logarithm of the count of the shingles that fall on each counter, over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
-        for batch in batches:
-            for hashes, _, _ in shingle_blocks(batch.column("text"), words):
-                counts = np.zeros(counters, np.uint32) if counts is None else counts
-                at, n = np.unique(_counter(hashes, counters), return_counts=True)
-                counts[at] += n.astype(np.uint32)
-        if counts is not None:
-            for i, part in enumerate(np.split(counts, PARTS)):
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], ["part", "counts"])
-        released()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                found = np.frombuffer(pa.decompress(raw, 4 * counters // PARTS, "zstd", asbytes=True), np.uint32)
-                sums[i] = sums[i] + found if i in sums else found.astype(np.uint64)
-        for i, found in sums.items():
-            level = np.ceil(np.log2(found + 1.0)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([level.tobytes()], pa.binary())], ["part", "level"])
-
-    counted = docs.select("text").mapInArrow(count, "part long, counts binary")
-    out = np.zeros((PARTS, counters // PARTS), np.uint8)
-    for r in counted.repartition("part").mapInArrow(add, "part long, level binary").collect():  # a byte for each counter
-        out[r["part"]] = np.frombuffer(r["level"], np.uint8)
-    return out.ravel()
+    """About the binary logarithm of every shingle's count over all documents, by counter."""
+    return word_counters(docs.select("text"), lambda batch: (hashes for hashes, _, _ in shingle_blocks(batch.column("text"), words)), counters)
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -131,7 +100,7 @@ def _signed(words: int, percent: int, held):
                 if len(tokens):
                     one.append(int(np.bitwise_xor.reduce(anchors.mix(tokens)).view(np.int64)))
                     two.append(int(np.add.reduce(anchors.mix(tokens ^ np.uint64(0x1234567))).view(np.int64)))
-                    order = np.argsort(level[_counter(tokens, len(level))], kind="stable")
+                    order = np.argsort(level[counter_of(tokens, len(level))], kind="stable")
                     prefix.append(tokens[order[: prefix_size(len(tokens), percent)]].view(np.int64))
                 else:
                     one.append(None), two.append(None), prefix.append(None)
@@ -144,15 +113,18 @@ def _signed(words: int, percent: int, held):
 
 
 def _met(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Rows (key, salt, rep) in that order, to (key, rep, lead) of keys that two or more hold; lead is the first under key and salt.
+    """Rows (key, salt, rep) in that order, to (key, rep, lead, n) of keys that two or more hold; lead is the first under key and salt.
 
-    The key of a group that was seen whole is the hash of its members, so that groups of the same members are one.
-    Groups over `most` rows stream and keep their key, as do salted ones.
+    The key of a group that was seen whole is the hash of its members, so that groups of the same members are one, and n
+    their number. Groups over `most` rows stream and keep their key, as do salted ones; their n is 0.
     """
     held = None  # rows of the last group, not yet ended
     lead = None  # (key, salt, lead) while a large group streams
 
-    def group(k: np.ndarray, s: np.ndarray, r: np.ndarray) -> pa.RecordBatch | None:
+    def out(k: np.ndarray, r: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(r), pa.array(first), pa.array(n.astype(np.int64))], ["key", "rep", "lead", "n"])
+
+    def group(k: np.ndarray, s: np.ndarray, r: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]))))
         n = np.diff(np.append(edge, len(k)))
         first = np.repeat(r[edge], n)
@@ -160,7 +132,7 @@ def _met(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.Rec
         name = np.repeat(np.where(s[edge] >= 0, k[edge], members), n)
         keep = np.repeat((n > 1) | (s[edge] >= 0), n)
         if keep.any():
-            return pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(r[keep]), pa.array(first[keep])], ["key", "rep", "lead"])
+            yield out(name[keep], r[keep], first[keep], np.repeat(np.where(s[edge] >= 0, 0, n), n)[keep])
 
     for batch in batches:
         rows = [batch.column(c).to_numpy() for c in ("key", "salt", "rep")]
@@ -170,7 +142,7 @@ def _met(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.Rec
             same = (rows[0] == lead[0]) & (rows[1] == lead[1])
             n = int(same.sum())
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0][:n]), pa.array(rows[2][:n]), pa.array(np.full(n, lead[2]))], ["key", "rep", "lead"])
+                yield out(rows[0][:n], rows[2][:n], np.full(n, lead[2]), np.zeros(n))
                 rows = [x[n:] for x in rows]
             if not len(rows[0]):
                 continue
@@ -179,18 +151,14 @@ def _met(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.Rec
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         last = int(np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))[-1:].max(initial=-1)) + 1
         if last:
-            out = group(*(x[:last] for x in rows))
-            if out is not None:
-                yield out
+            yield from group(*(x[:last] for x in rows))
         held = [x[last:] for x in rows]
         if len(held[0]) > most:
             lead = (held[0][0], held[1][0], held[2][0])
-            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[2]), pa.array(np.full(len(held[0]), lead[2]))], ["key", "rep", "lead"])
+            yield out(held[0], held[2], np.full(len(held[0]), lead[2]), np.zeros(len(held[0])))
             held = None
     if held is not None:
-        out = group(*held)
-        if out is not None:
-            yield out
+        yield from group(*held)
 
 
 def _packed(words: int):
@@ -431,7 +399,8 @@ def _traversed(percent: int):
 
 def _residual(groups: DataFrame, settled: DataFrame, docs: DataFrame, words: int, percent: int, hot: int) -> DataFrame:
     """Pairs (a, b) of different components that dual traversal of the open groups' trees leaves."""
-    rows = groups.where("rep <> lead").union(groups.join(_led_twice(groups).hint("merge"), "key").where("rep = lead").select(groups.columns))
+    # A lead has been compared with all others, and of two members nothing is left.
+    rows = groups.where("rep <> lead and n <> 2").select("key", "rep").union(groups.where("n = 0").join(_led_twice(groups).hint("merge"), "key").where("rep = lead").select("key", "rep"))
     member = rows.join(settled.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     member = stash(member.distinct(), "members")
     spread = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
@@ -461,7 +430,7 @@ def _residual(groups: DataFrame, settled: DataFrame, docs: DataFrame, words: int
 
 def _led_twice(groups: DataFrame) -> DataFrame:
     """Keys whose members have several leads, as salted ones have."""
-    return groups.groupBy("key").agg(F.min("lead").alias("top"), F.max("lead").alias("x")).where("top < x").select("key", "top")
+    return groups.where("n = 0").groupBy("key").agg(F.min("lead").alias("top"), F.max("lead").alias("x")).where("top < x").select("key", "top")
 
 
 def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: int = HOT, salted: int = SALTED, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame]:
@@ -473,8 +442,8 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: in
     known = signed.where("size > 0 and doc_id is not null")
     classes = stash(known.groupBy("one", "two", "size").agg(F.min("doc_id").alias("rep")), "classes")
     meets = known.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("key"))
-    groups = stash(_grouped(meets, level, salted), "groups")
-    tops = groups.join(_led_twice(groups).hint("merge"), "key").where("lead > top").select(F.col("top").alias("a"), F.col("lead").alias("b"))
+    groups = stash(_grouped(meets, level, salted).distinct(), "groups")
+    tops = groups.where("n = 0").join(_led_twice(groups).hint("merge"), "key").where("lead > top").select(F.col("top").alias("a"), F.col("lead").alias("b"))
     stars = groups.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).union(tops).distinct()
     near = stash(_sized(stars, classes, percent), "stars")
     first = _exact(near, docs, words, percent)
@@ -488,7 +457,7 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: in
 
 
 def _grouped(meets: DataFrame, level: np.ndarray, salted: int) -> DataFrame:
-    """Members (key, rep, lead) of the keys that two or more hold. Frequent keys are salted by their members."""
+    """Members (key, rep, lead, n) of the keys that two or more hold. Frequent keys are salted by their members."""
     often = 2.0**level
     bound = salted + 2 * float(often.mean())
     hot = np.flatnonzero(often > 2 * bound)
@@ -499,7 +468,7 @@ def _grouped(meets: DataFrame, level: np.ndarray, salted: int) -> DataFrame:
         meets = meets.join(F.broadcast(table), F.col("key").bitwiseAND(F.lit(n - 1)) == F.col("counter"), "left")
         salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).otherwise(-1)
     rows = meets.select("key", salt.alias("salt"), "rep")
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "rep").mapInArrow(_met, "key long, rep long, lead long")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "rep").mapInArrow(_met, "key long, rep long, lead long, n long")
 
 
 def _sized(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

@@ -16,7 +16,8 @@ by fingerprint, of what earlier batches held. Each batch
 `dedup_words` runs several batches and fetches the words to compare (step 3) for all of them at once.
 
 Edges: null texts have no words; fewer words than a window removes nothing; a window repeated within one
-document only is kept; rows with one doc_id count as one document; extra columns are ignored.
+document only is kept; rows with one doc_id count as one document, and different texts under one as its parts, which no
+window crosses; documents with a null doc_id neither remove anything nor lose anything; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import mapped, stash, texts_of, unstash
+from .common import mapped, stash, texts_of, unstash, with_turn
 
 WINDOW, GRAM = 50, 16
 BATCHES, FAN_IN = 3, 2
 CHUNK = 1 << 21
 #: Distinct runs under one key that are compared in one group.
 HOT = 1000
+#: A text's turn under its doc_id stands above its places.
+TURN = 40
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -74,10 +77,10 @@ def _found(window: int, gram: int):
         data, offsets = texts_of(batch.column("text"))
         begin, end, words = word_places(data, offsets)
         symbols = word_hashes(data, begin, end)
-        ids = batch.column("doc_id")
+        ids, turn = batch.column("doc_id"), batch.column("turn").to_numpy().astype(np.int64)
         for row, start, count, key, snip in anchors.runs(symbols, words, window, gram):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(snip), ids.take(pa.array(row)), pa.array(start * 256 + count)],
+                [pa.array(key), pa.array(snip), ids.take(pa.array(row)), pa.array((start + (turn[row] << TURN)) * 256 + count)],
                 ["key", "snip", "doc_id", "place"],
             )
 
@@ -91,14 +94,12 @@ def _wanted(batch: pa.RecordBatch, window: int, hot: bool):
     wanted = batch.column("wanted")
     flat = wanted.flatten()
     row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(wanted).to_numpy())
-    mine = np.flatnonzero(flat.field("hot").to_numpy(zero_copy_only=False) == hot)
+    turn = flat.field("place").to_numpy() >> (TURN + 8)
+    mine = np.flatnonzero((flat.field("hot").to_numpy(zero_copy_only=False) == hot) & (turn == batch.column("turn").to_numpy()[row]))
     key, place, fresh = (flat.field(c).take(pa.array(mine)) for c in ("key", "place", "fresh"))
     row = row[mine]
     start, count = np.divmod(place.to_numpy(), 256)
-    first = words[row] + start
-    sound = first + count + window - 1 <= words[row + 1]
-    if not sound.all():
-        raise ValueError("documents has two texts under one doc_id")
+    first = words[row] + (start & ((1 << TURN) - 1))
     return (data.tobytes(), begin, end), row, first, count, (key, place, fresh)
 
 
@@ -218,7 +219,7 @@ def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW,
     Runs that share a key only are compared by `verified`. The batch joins the index. last: nothing follows, so
     the index is left as it is.
     """
-    every = mapped(batch.select("doc_id", "text"), _found(window, gram), "key long, snip long, doc_id long, place long").where("doc_id is not null")
+    every = mapped(batch.select("doc_id", "text", "turn"), _found(window, gram), "key long, snip long, doc_id long, place long").where("doc_id is not null")
     every = stash(every, "index", ("key", "snip"))
     history = index.rows()
     # Keys that occur once, in the batch and in the index together, have nothing to say.
@@ -260,7 +261,7 @@ def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW,
 def verified(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
     """Spans (doc_id, begin, end) of fresh runs' windows that an earlier document's run under the same key holds word by word."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "fresh", "hot")).alias("wanted"))
-    held = docs.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "wanted")
+    held = docs.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "turn", "wanted")
     texts = mapped(held, _snippets(window), "key long, doc_id long, place long, fresh boolean, bytes binary")
     within = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(window), "doc_id long, begin long, end long")
     if wanted.where("hot").isEmpty():
@@ -277,12 +278,14 @@ def _kept(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     begin, end, words = word_places(data, offsets)
     raw = data.tobytes()
     out = []
+    turns = batch.column("turn").to_pylist()
     for i, spans in enumerate(batch.column("spans").to_pylist()):
-        lo, hi = int(words[i]), int(words[i + 1])
+        lo, hi, base = int(words[i]), int(words[i + 1]), turns[i] << TURN
         drop = np.zeros(hi - lo + 1, np.int64)
         for x in spans or ():
-            drop[x["begin"]] += 1
-            drop[x["end"]] -= 1
+            if x["begin"] >> TURN == turns[i]:
+                drop[x["begin"] - base] += 1
+                drop[x["end"] - base] -= 1
         keep = np.flatnonzero(np.cumsum(drop)[:-1] == 0) + lo
         text = b" ".join([raw[a:b] for a, b in zip(begin[keep].tolist(), end[keep].tolist(), strict=True)])
         out.append((hi - lo, hi - lo - len(keep), hashlib.sha256(text).hexdigest()))
@@ -295,7 +298,7 @@ def _kept(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, fan_in: int = FAN_IN, hot: int = HOT) -> DataFrame:
     """Per document what the removal of word windows that smaller doc_ids hold leaves: n_words, n_removed, kept_sha256."""
-    docs = docs.select("doc_id", "text")
+    docs = with_turn(docs.select("doc_id", "text"))
     index, whole, wanted, below = FingerprintIndex(fan_in), [], [], None
     for number, upper in enumerate([*batch_bounds(docs, batches), None]):
         batch = docs
@@ -310,5 +313,5 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches
     # The texts move once, for the comparison of all batches and for the removal.
     spans = reduce(DataFrame.union, whole).union(verified(docs, reduce(DataFrame.union, wanted), window))
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = docs.join(lists.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
+    joined = docs.join(lists.hint("merge"), "doc_id", "left").select("doc_id", "text", "turn", "spans")
     return mapped(joined, _kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")

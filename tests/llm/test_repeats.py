@@ -88,6 +88,44 @@ def test_words_of_hot_keys_match_plain(spark, monkeypatch, batches):
     assert got == plain_words([(x.doc_id, x.text) for x in df.collect()])
 
 
+@pytest.mark.parametrize("frequent", [0, 2, 8])
+def test_bytes_of_frequent_keys_match_plain(spark, frequent):
+    r = random.Random(9)
+    some = lambda k: "".join(r.choice("abcdef ") for _ in range(k))
+    line = some(140)
+    df = frame(spark, texts() + [some(r.randint(0, 80)) + line + some(r.randint(0, 80)) for _ in range(60)] + [line] * 20)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup_bytes(df, frequent=frequent, hot=4).collect()}
+    assert got == plain_bytes([(x.doc_id, x.text) for x in df.collect()])
+
+
+def test_repeated_and_missing_ids(spark):
+    """Texts under one doc_id are parts of one document; without a doc_id a document takes no part."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    text, other = " ".join(word() for _ in range(60)), " ".join(word() for _ in range(60))
+    rows = [(1, text), (1, other), (1, other), (2, other + " x " + text), (None, text), (None, text), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n, m = len(text.encode()), len(other.encode())
+    got = sorted((-1 if x.doc_id is None else x.doc_id, x.n_bytes, x.n_removed) for x in suffix_dedup.dedup_bytes(df).collect())
+    assert got == sorted([(1, n, 0), (1, m, 0), (1, m, 0), (2, n + m + 3, n + m), (-1, n, 0), (-1, n, 0), (3, 0, 0), (3, 0, 0)])
+    found = sorted((-1 if x.doc_id is None else x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.dedup_words(df).collect())
+    assert found == [(-1, 60, 0), (-1, 60, 0), (1, 60, 0), (1, 60, 0), (1, 60, 0), (2, 121, 120), (3, 0, 0), (3, 0, 0)]
+
+
+def test_repeat_groups_have_all_occurrences(spark):
+    r = random.Random(3)
+    some = lambda k: "".join(r.choice("abcdefgh") for _ in range(k))
+    passage = some(110)
+    df = spark.createDataFrame([(i, some(50) + passage + some(50)) for i in range(5)], "doc_id long, text string")
+    groups = {}
+    for x in suffix_dedup.repeat_groups(df).collect():
+        groups.setdefault((x.repeat, x.n), set()).add((x.doc_id, x.begin))
+    # Maximal within the windows of an anchor: those that all five hold are the passage, and where neighbours are alike by chance some hold more.
+    shared = {n: g for n, g in groups.items() if len({d for d, _ in g}) == 5}
+    assert shared and all(len(g) >= 2 for g in groups.values())
+    assert min(b for g in shared.values() for _, b in g) == 50 and max(b + n for (_, n), g in shared.items() for _, b in g) == 160
+
+
 def test_empty_tables(spark):
     assert suffix_dedup.dedup_bytes(empty(frame(spark))).collect() == []
     assert substring_dedup.dedup_words(empty(frame(spark))).collect() == []
