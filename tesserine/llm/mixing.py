@@ -6,12 +6,16 @@ The weights are realised as epochs over each source: whole epochs take every doc
 each epoch a source's documents are dealt to blocks and the blocks permuted by a seeded hash; blocks are taken in
 that order until the budget is met, and within the one block where it runs out, documents in hash order.
 
+Shares, exponent and budgets are found by aggregates over the table of sources, which stays distributed; what is joined with the
+documents is a row for each source and for each of its blocks. Texts are never shuffled while those tables are small
+(`SMALL` rows, counted), nor are a source's documents brought together.
+
 Token counts are words `[^\\x20\\x09-\\x0D]+`. By default the budget is the least that leaves no document out:
 the most generous source, by its own size, is taken exactly once.
 
 Edges: null sources are a source of their own; null and empty texts count no tokens and are taken in every whole
-epoch; a source without tokens is taken once; repeated rows are mixed as rows of their own; an empty table
-gives an empty result; extra columns are kept.
+epoch; a source without tokens is taken once; repeated rows (doc_id and text) are taken or left together; an empty table
+gives an empty result; extra columns are kept, but for those named as the operator's own.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import as_rows, stash, unstash, with_own
 
 #: No source is repeated more often than this, relative to the least repeated one.
 REPEATS = 2.0
@@ -31,6 +35,10 @@ SEED = 17
 BLOCK = 512
 #: Blocks of a source at most; larger sources have larger blocks, so that the table of blocks stays small.
 BLOCKS = 4096
+#: Rows of a table of sources or blocks up to which it is broadcast; beyond, documents are shuffled to it.
+SMALL = 200_000
+#: Exponents tried at once in the search for an entropy, and the number of searches.
+TRIED, SEARCHES = 64, 5
 
 
 @dataclass(frozen=True)
@@ -92,39 +100,77 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def mixed(docs: DataFrame, repeats: float | None = REPEATS, target_entropy: float | None = None, budget: float | None = None, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """docs with n_tokens, epoch (from 0) and place, a row for each time that a document is taken.
+def _exponent(totals: DataFrame, repeats: float | None, target_entropy: float | None, most: float, least: float) -> float:
+    """As in `solve`, over a table of sources with their tokens; most and least are those of the sources that have any."""
+    if target_entropy is None:
+        if repeats is None or most == least:
+            return 1.0 if repeats is None else 0.0
+        # w / p goes with p ** (a - 1), so the extreme sources decide.
+        return bisect(lambda a: (most / least) ** (1 - a) <= repeats)
+    low, high = 0.0, 1.0
+    share = F.log(F.col("tokens") / F.lit(most))
+    for search in range(SEARCHES):
+        tried = [low + (high - low) * i / TRIED for i in range(0 if search == 0 else 1, TRIED + 1)]
+        sums = totals.where("tokens > 0").agg(*(f(F.exp(share * a) * x).alias(f"{n}{i}") for i, a in enumerate(tried) for n, f, x in (("z", F.sum, F.lit(1.0)), ("s", F.sum, share)))).head()
+        good = [i for i, a in enumerate(tried) if math.log(sums[f"z{i}"]) - a * sums[f"s{i}"] / sums[f"z{i}"] <= target_entropy]
+        if not good:
+            return 1.0
+        at = tried[good[0]]
+        if at == 0.0:
+            return 0.0
+        low, high = at - (high - low) / TRIED, at
+    return high
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The table with a hint to broadcast it if it is small, else to merge with it."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df.hint("merge")
 
-    place orders the rows of a source's epoch: its blocks in permuted order.
+
+def taken_rows(docs: DataFrame, repeats: float | None = REPEATS, target_entropy: float | None = None, budget: float | None = None, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """docs as `row` (see `as_rows`) with n_tokens, epoch (from 0) and place, a row for each time that a document is taken.
+
+    place orders the rows of a source's epoch: its blocks in permuted order, in each the documents.
     """
-    sized = docs.withColumn("_key", _source_key(F.col("source"))).withColumn("n_tokens", token_count(F.col("text")))
-    light = sized.select("_key", "n_tokens", F.xxhash64("doc_id", "text").alias("_id"))
-    light = stash(light, "sizes")
-    totals = light.groupBy("_key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
-    found = totals.collect()  # a row for each source
-    mix = solve({r["_key"]: int(r["tokens"]) for r in found}, repeats, target_entropy, budget)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        [(r["_key"], int(e), float(e - int(e)) * int(r["tokens"]), min(BLOCKS, max(1, -(-int(r["rows"]) // block)))) for r in found for e in [mix.epochs[r["_key"]]]],
-        "_key string, _whole int, _rest double, _blocks int",
-    )
+    sized = as_rows(docs).select("row", _source_key(F.col("row.source")).alias("_key"), token_count(F.col("row.text")).alias("n_tokens"), F.xxhash64("row.doc_id", "row.text").alias("_id"))
+    light = stash(sized.select("_key", "n_tokens", "_id"), "sizes")
+    totals = stash(light.groupBy("_key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "totals")
+    some = totals.where("tokens > 0").agg(F.max("tokens").alias("most"), F.min("tokens").alias("least")).head()
+    tokens, epochs = F.col("tokens").cast("double"), F.lit(1.0)
+    if some["most"] is not None:
+        a = _exponent(totals, repeats, target_entropy, float(some["most"]), float(some["least"]))
+        raw = F.pow(tokens / F.lit(float(some["most"])), F.lit(a))
+        z = totals.where("tokens > 0").agg(F.sum(raw).alias("z"), F.max(tokens / raw).alias("x")).head()
+        spend = float(budget) if budget is not None else z["x"] * z["z"]
+        epochs = F.when(F.col("tokens") > 0, F.round(raw / F.lit(z["z"]) * F.lit(spend) / tokens, 9)).otherwise(1.0)
+    number = F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("rows") / block))).cast("int")
+    plan = stash(totals.select("_key", F.floor(epochs).cast("int").alias("_whole"), ((epochs - F.floor(epochs)) * tokens).alias("_rest"), number.alias("_blocks")), "plan")
+    sources = _small(plan)
     rank = F.xxhash64("_id", F.lit(seed))
     dealt = F.pmod(rank, F.col("_blocks")).cast("int")
     # The order of a source's blocks in its last, budgeted epoch, and where the budget runs out.
-    sums = light.join(plan, "_key").where("_rest > 0").groupBy("_key", dealt.alias("_block")).agg(F.sum("n_tokens").alias("n"), F.first("_rest").alias("_rest"), F.first("_whole").alias("_whole"))
+    sums = light.join(sources, "_key").where("_rest > 0").groupBy("_key", "_rest", "_whole", dealt.alias("_block")).agg(F.sum("n_tokens").alias("n"))
     order = F.xxhash64("_block", "_whole", F.lit(seed + 1))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_key").orderBy(order, "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = sums.withColumn("before", before).where("before < _rest").select("_key", "_block", (F.col("_rest") - F.col("before")).alias("_room"), (F.col("before") + F.col("n") > F.col("_rest")).alias("_last"))
-    in_last = light.join(plan, "_key").select("_key", dealt.alias("_block"), "_id", rank.alias("_rank"), "n_tokens").join(blocks.where("_last"), ["_key", "_block"])
-    so_far = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("_key", "_block").orderBy("_rank", "_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = in_last.withColumn("so_far", so_far).where(F.col("so_far") < F.col("_room")).groupBy("_key", "_block").agg(F.max(F.struct("_rank", "_id")).alias("_edge"))
-    limits = stash(blocks.where("_last").select("_key", "_block").join(edge, ["_key", "_block"], "left").select("_key", "_block", "_edge").union(blocks.where("not _last").select("_key", "_block", F.lit(None).cast(edge.schema["_edge"].dataType))), "limits")
-    taken = limits.withColumn("_taken", F.lit(True))
-    # Plan and limits have a row for each source and for each of its blocks; the documents are not shuffled for them while they are small.
-    full = sized.join(plan, "_key").withColumn("_id", F.xxhash64("doc_id", "text")).withColumn("_rank", rank).withColumn("_block", dealt)
-    full = full.join(taken, ["_key", "_block"], "left")
+    blocks = stash(blocks, "blocks")
+    last = _small(blocks.where("_last").select("_key", "_block", "_room"))  # one block of a source
+    in_last = light.join(sources, "_key").select("_key", dealt.alias("_block"), "_id", rank.alias("_rank"), "n_tokens").join(last, ["_key", "_block"])
+    each = in_last.groupBy("_key", "_block", "_room", "_rank", "_id").agg(F.sum("n_tokens").alias("n"))
+    so_far = F.coalesce(F.sum("n").over(Window.partitionBy("_key", "_block").orderBy("_rank", "_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = each.withColumn("so_far", so_far).where(F.col("so_far") < F.col("_room")).groupBy("_key", "_block").agg(F.max(F.struct("_rank", "_id")).alias("_edge"))
+    limits = stash(blocks.select("_key", "_block").join(edge, ["_key", "_block"], "left"), "limits")
+    full = sized.join(sources, "_key").withColumn("_rank", rank).withColumn("_block", dealt)
+    full = full.join(_small(limits.withColumn("_taken", F.lit(True))), ["_key", "_block"], "left")
     extra = F.coalesce(F.col("_taken"), F.lit(False)) & (F.col("_edge").isNull() | (F.struct("_rank", "_id") <= F.col("_edge")))
     times = F.col("_whole") + F.when(extra, 1).otherwise(0)
     rows = full.withColumn("_times", times).where("_times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    place = F.xxhash64("_block", "epoch", F.lit(seed + 1))
-    return rows.withColumn("place", place).select(*docs.columns, "n_tokens", "epoch", "place")
+    # The block's hash above, the document's below.
+    place = F.xxhash64("_block", "epoch", F.lit(seed + 1)).bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.xxhash64("_id", "epoch", F.lit(seed + 2)).bitwiseAND(F.lit((1 << 32) - 1)))
+    unstash(light, totals, blocks)  # plan and limits are read by the result
+    return rows.select("row", "n_tokens", "epoch", place.alias("place"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs with n_tokens, epoch and place, in place of columns of these names; see `taken_rows`."""
+    return with_own(taken_rows(docs, **options), "n_tokens", "epoch", "place")

@@ -40,13 +40,13 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def _pieces(path: str, capacity: int, end: int):
+def _pieces(path: str, capacity: int, end: int, special: bool):
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokenizer(path)
+        tokens = word_tokenizer(path, special)
         texts, ids = batch.column("text"), batch.column("doc_id")
-        for at in range(0, batch.num_rows, 256):
+        for at in range(0, batch.num_rows, 64):
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, found in enumerate(tokens.encode([t or "" for t in texts.slice(at, 256).to_pylist()])):
+            for i, found in enumerate(tokens.encode([t or "" for t in texts.slice(at, 64).to_pylist()])):
                 whole = np.append(found, np.uint32(end)).astype("<u4")
                 for k, (s, n) in enumerate(cuts(len(whole), capacity)):
                     rows.append(at + i), piece.append(k), start.append(s), length.append(n), crc.append(zlib.crc32(whole[s : s + n].tobytes()))
@@ -58,8 +58,9 @@ def _pieces(path: str, capacity: int, end: int):
     return cut
 
 
-def pieces(docs: DataFrame, vocabulary: str = DEFAULT, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    return mapped(docs.select("doc_id", "text"), _pieces(vocabulary_path(vocabulary), capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+def pieces(docs: DataFrame, vocabulary: str = DEFAULT, capacity: int = CAPACITY, end: int = END, special: bool = True) -> DataFrame:
+    """Per piece doc_id, piece, start, length and ids_crc32; special: special tokens' strings get their ids."""
+    return mapped(docs.select("doc_id", "text"), _pieces(vocabulary_path(vocabulary), capacity, end, special), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:

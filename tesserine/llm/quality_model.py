@@ -10,7 +10,8 @@ the bound is a parameter. Scoring reads every whole text.
 
 Edges: null texts are empty; a text without words gets the least grade's score by its statistics alone; labels
 that are null, or without a document, are ignored; several labels of one document count as the least; without any
-usable label every document is kept with null scores; extra columns are ignored.
+usable label every document is kept with null scores; repeated rows are scored one by one; extra columns are kept, but for those
+named as the operator's own.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import anchors
-from .common import mapped, texts_of
+from .common import as_rows, field, mapped, texts_of, with_own
 from .substring_dedup import word_places
 
 BUCKETS = 1 << 18
@@ -186,22 +189,20 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> OrdinalM
 
 
 def score(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
-    """docs with expected_grade and tail_probability, that of the highest grade."""
+    """docs as `row` (see `as_rows`) with expected_grade and tail_probability, that of the highest grade."""
+    rows = as_rows(docs)
     if model is None:
-        return docs.withColumn("expected_grade", F.lit(None).cast("double")).withColumn("tail_probability", F.lit(None).cast("double"))
+        return rows.select("row", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"))
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
-    names = docs.columns
+    text = field(rows.schema["row"].dataType, "text")
 
     def scored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = OrdinalModel(*held.value)
-        rows, buckets = features(batch.column("text"))
-        tails = m.tails(m.scores(rows, buckets, batch.num_rows))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tails.sum(1)), pa.array(tails[:, -1])], [*names, "expected_grade", "tail_probability"])
+        found, buckets = features(pa.compute.struct_field(batch.column("row"), [text]))
+        tails = m.tails(m.scores(found, buckets, batch.num_rows))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(tails.sum(1)), pa.array(tails[:, -1])], ["row", "expected_grade", "tail_probability"])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("expected_grade", DoubleType()).add("tail_probability", DoubleType())
-    return mapped(docs, scored, schema)
+    return mapped(rows, scored, T.StructType([*rows.schema.fields]).add("expected_grade", T.DoubleType()).add("tail_probability", T.DoubleType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel | None:
@@ -212,7 +213,12 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordina
 KEEP = 0.3
 
 
-def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """docs with expected_grade, tail_probability and kept."""
+def kept_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+    """docs as `row` with expected_grade, tail_probability and kept."""
     out = score(docs, classify(docs, labels, sample))
     return out.withColumn("kept", F.coalesce(F.col("tail_probability") >= keep, F.lit(True)))
+
+
+def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+    """docs with expected_grade, tail_probability and kept, in place of columns of these names."""
+    return with_own(kept_rows(docs, labels, sample, keep), "expected_grade", "tail_probability", "kept")

@@ -24,10 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import mapped
+from .common import as_rows, field, mapped, with_own
 
 #: What a candidate may look like.
 CANDIDATE = re.compile(
@@ -272,19 +273,19 @@ MASK = "[SECRET]"
 FINDING = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()).add("score", T.DoubleType()))
 
 
-def scanned(docs: DataFrame, path: str = "source", forest: Forest | None = None, keep: float = KEEP, mask: str = MASK) -> DataFrame:
-    """docs with n_candidates, findings and clean_text, in which secrets are replaced by the mask."""
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields]).add("n_candidates", T.LongType()).add("findings", FINDING).add("clean_text", T.StringType())
-    if any(c in names for c in ("n_candidates", "findings", "clean_text")):
-        docs = docs.drop("n_candidates", "findings", "clean_text")
-        return scanned(docs, path, forest, keep, mask)
+def scanned_rows(docs: DataFrame, path: str = "source", forest: Forest | None = None, keep: float = KEEP, mask: str = MASK) -> DataFrame:
+    """docs as `row` (see `as_rows`) with n_candidates, findings and clean_text, in which secrets are replaced by the mask."""
+    rows = as_rows(docs)
+    kind = rows.schema["row"].dataType
+    text_at, path_at = field(kind, "text"), field(kind, path)
+    held = docs.sparkSession.sparkContext.broadcast(forest or trained())  # grown once, on the driver
 
     def look(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        model = forest or trained()
-        paths = batch.column(names.index(path)).to_pylist() if path in names else [""] * batch.num_rows
+        row, model = batch.column("row"), held.value
+        texts = pa.compute.struct_field(row, [text_at]).to_pylist()
+        paths = pa.compute.struct_field(row, [path_at]).to_pylist() if path_at >= 0 else [""] * batch.num_rows
         number, found, clean = [], [], []
-        for text, where in zip(batch.column("text").to_pylist(), paths, strict=True):
+        for text, where in zip(texts, paths, strict=True):
             if not text:
                 number.append(0), found.append([]), clean.append(text)
                 continue
@@ -293,10 +294,15 @@ def scanned(docs: DataFrame, path: str = "source", forest: Forest | None = None,
             for a, b, _ in reversed(spans):
                 text = text[:a] + mask + text[b:]
             clean.append(text)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number, pa.int64()), pa.array(found, kind), pa.array(clean, pa.string())], [*names, "n_candidates", "findings", "clean_text"])
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+        yield pa.RecordBatch.from_arrays([row, pa.array(number, pa.int64()), pa.array(found, spans), pa.array(clean, pa.string())], ["row", "n_candidates", "findings", "clean_text"])
+
+    return mapped(rows, look, T.StructType([*rows.schema.fields]).add("n_candidates", T.LongType()).add("findings", FINDING).add("clean_text", T.StringType()))
 
-    return mapped(docs, look, schema)
+
+def scanned(docs: DataFrame, path: str = "source", forest: Forest | None = None, keep: float = KEEP, mask: str = MASK) -> DataFrame:
+    """docs with n_candidates, findings and clean_text, in place of columns of these names."""
+    return with_own(scanned_rows(docs, path, forest, keep, mask), "n_candidates", "findings", "clean_text")
 
 
 def digest(text: str | None) -> str:

@@ -3,7 +3,11 @@
 Texts are cut into the vocabulary's pre-tokens with array operations over whole batches: the pattern
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 splits only where the kind of character changes, so its marks follow from the runs of letters, numbers, white
-space and other signs. Each distinct pre-token goes to the tokenizer once and is remembered by its hash.
+space and other signs. Each distinct pre-token goes to the tokenizer once and is remembered; within a block pre-tokens are
+told apart by a 64-bit hash.
+
+The strings of the vocabulary's special tokens get their ids wherever they stand in a text, as in the library's default mode;
+with `special=False` they are ordinary text (the library's `encode_special_tokens`).
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from . import anchors
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Code points worked on at once, pre-tokens remembered at most.
-BLOCK, REMEMBERED = 1 << 19, 1 << 20
+BLOCK, REMEMBERED = 1 << 17, 1 << 17
 #: Unicode's White_Space.
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 DEFAULT = "byte_bpe_50k.json"
@@ -94,26 +98,30 @@ def pretokens(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class WordTokenizer:
     """Token ids of many texts with one vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model  # pre-tokens hold no special token, so the model alone decides
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        table = _byte_letters()
-        found = [[t.id for t in self.model.tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(table))] for w in words]
-        count = np.array([len(x) for x in found], np.int64)
-        first = len(self.ids) + np.cumsum(count) - count
-        known = np.concatenate((self.known, keys))
-        order = np.argsort(known, kind="stable")
-        self.known, self.first, self.count = known[order], np.concatenate((self.first, first))[order], np.concatenate((self.count, count))[order]
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))))
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.marks = [t.content for t in self.whole.get_added_tokens_decoder().values()] if special else []
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, word: str) -> bytes:
+        """The ids of a pre-token, four bytes each."""
+        found = self.known.get(word)
+        if found is None:
+            letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_byte_letters())
+            found = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        marked = [i for i, t in enumerate(texts) if any(m in t for m in self.marks)]
+        if marked:  # texts with special tokens are left to the library
+            plain = iter(self.encode([t for i, t in enumerate(texts) if i not in set(marked)]))
+            return [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32) if i in set(marked) else next(plain) for i, t in enumerate(texts)]
         out: list[np.ndarray] = []
         at = 0
         while at < len(texts):
@@ -137,23 +145,16 @@ class WordTokenizer:
         total = anchors.sums(points.astype(np.uint64) + np.uint64(1))
         keys = anchors.spans(total, begin, end)
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.forget()
-        place = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = place < len(self.known)
-        new[inside] = self.known[place[inside]] != distinct[inside]
-        if new.any():
-            self.learn(distinct[new], [whole[begin[i] : end[i]] for i in where[new]])
-            place = np.searchsorted(self.known, distinct)
-        place = place[back]
-        count = self.count[place]
+        found = [self.ids(whole[begin[i] : end[i]]) for i in where.tolist()]
+        each = np.array([len(x) for x in found], np.int64) // 4
+        pool, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(each) - each
+        count = each[back]
         stop = np.cumsum(count)
-        flat = self.ids[np.arange(int(stop[-1])) - np.repeat(stop - count, count) + np.repeat(self.first[place], count)]
+        flat = pool[np.arange(int(stop[-1])) - np.repeat(stop - count, count) + np.repeat(first[back], count)]
         tokens = np.concatenate(([0], stop))[np.searchsorted(begin, bounds)]
         return [flat[a:b] for a, b in zip(tokens[:-1].tolist(), tokens[1:].tolist(), strict=True)]
 
 
 @lru_cache(2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def word_tokenizer(path: str, special: bool = True) -> WordTokenizer:
+    return WordTokenizer(path, special)

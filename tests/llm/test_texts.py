@@ -1,6 +1,7 @@
 """HTML text, quality, secrets, packing, mixing, fingerprints and the pipeline."""
 
 import base64
+import bisect
 import hashlib
 import math
 import random
@@ -160,16 +161,19 @@ def test_words_assigned_to_keys_are_judged():
         assert n == 1 and found == []
 
 
-def test_tokens_match_the_library():
+@pytest.mark.parametrize("special", [True, False])
+def test_tokens_match_the_library(special):
     from tokenizers import Tokenizer
 
     path = tokens.vocabulary_path()
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    if not special:
+        library.encode_special_tokens = True
     r = random.Random(1)
     letters = list(" \n\t  ''''stmdrevl''  aéß中9٣½!?.,-_  ́😀AB's 'll I'm \r\n<|endoftext|>")
     some = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(2000)] + [t or "" for t in texts()]
-    assert [x.tolist() for x in tokens.word_tokenizer(path).encode(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    some += ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>\n", "<|endoftext", "<|ENDOFTEXT|>"]
+    assert [x.tolist() for x in tokens.word_tokenizer(path, special).encode(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
 
 
 def test_packing_round_trip(spark):
@@ -230,6 +234,60 @@ def test_mixing_budget_and_weights(spark):
     assert mixing.mixed(empty(df)).collect() == []
 
 
+def test_columns_of_the_operators_names(spark):
+    names = ["_key", "_id", "_block", "_rank", "_times", "_whole", "_rest", "n_tokens", "epoch", "place", "expected_grade", "tail_probability", "kept", "n_candidates", "findings", "clean_text", "row", "a.b"]
+    df = spark.createDataFrame([(i, f"some text {i}", "s" if i % 3 else None, *([f"own{i}"] * len(names))) for i in (0, 1, 2, 2)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    for out, own in (
+        (mixing.mixed(df), {"n_tokens", "epoch", "place"}),
+        (quality_model.rated(df, labels), {"expected_grade", "tail_probability", "kept"}),
+        (secret_forest.scanned(df), {"n_candidates", "findings", "clean_text"}),
+    ):
+        rows = out.collect()
+        assert sorted(out.columns) == sorted(df.columns) and {r.doc_id for r in rows} == {0, 1, 2}
+        assert all(r[c] == f"own{r.doc_id}" for r in rows for c in names if c not in own)
+
+
+def test_mixing_of_many_sources_follows_the_plan(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.randint(1, 9)), f"s{int(r.random() ** 3 * 40)}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tokens_of = defaultdict(int)
+    for _, t, s in rows:
+        tokens_of[s] += len(words(t))
+    shares = [n / sum(tokens_of.values()) for n in tokens_of.values()]
+    for options in ({}, {"repeats": 1.3}, {"target_entropy": (mixing.entropy(shares) + math.log(len(shares))) / 2}, {"repeats": None}, {"budget": 2000.0}):
+        mix, taken, seen = mixing.solve(tokens_of, **options), defaultdict(int), defaultdict(list)
+        for g in mixing.mixed(df, block=8, **options).collect():
+            taken[g.source] += g.n_tokens
+            seen[g.source, g.epoch].append(g.place)
+        for s, n in tokens_of.items():
+            assert mix.epochs[s] * n - 1e-3 <= taken[s] <= mix.epochs[s] * n + 9
+        assert all(len(set(x)) == len(x) for x in seen.values())
+
+
+def plain_best_fit(sizes, capacity):
+    """Each piece, from the longest on, to the smallest gap that holds it."""
+    gaps = []
+    opened = 0
+    for n in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        if at == len(gaps):
+            opened += 1
+            gap = capacity
+        else:
+            gap = gaps.pop(at)
+        bisect.insort(gaps, gap - n)
+    return opened
+
+
+def test_packing_is_as_tight_as_plain_best_fit(spark):
+    r = random.Random(5)
+    some = [" ".join(f"{r.choice('abcdefgh')}{k}" for k in range(int(r.random() ** 2 * 90))) for _ in range(400)]
+    got = packing.pack(frame(spark, some), capacity=128).collect()
+    assert len({x.sequence_id for x in got}) <= plain_best_fit([x.length for x in got], 128)
+
+
 def test_mixing_targets():
     tokens_of = {"a": 1000, "b": 100, "c": 10, "d": 0}
     for target in (0.6, 0.9, 1.05):
