@@ -12,7 +12,7 @@
    in one component or whose greatest possible overlap is below the threshold are dropped. Tasks go down each
    remaining pair of nodes by dual traversal of the trees under them, with the same bounds, to pairs of members.
 
-Pairs of both steps are compared exactly, on the whole sets; nothing depends on odds but the 64-bit hashes of the shingles and
+Pairs of the star step pass the bound of two members' bitmaps first. Pairs of both steps are compared exactly, on the whole sets; nothing depends on odds but the 64-bit hashes of the shingles and
 the 128-bit hashes of the sets. No group is held whole by a task: members stream, frequent shingles are salted.
 
 Edges: null or blank texts: n_shingles 0, linked with nothing; fewer than five words: one shingle, the whole
@@ -234,6 +234,37 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(needed) if few else needed.hint("merge"), "doc_id", "left_semi")
 
 
+def _bits(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """Sizes and token bitmaps of the documents named by needed (rep)."""
+    return mapped(_texts(docs, needed), _mapped_bits(words), "rep long, size long, bits binary")
+
+
+def _reachable(percent: int):
+    """Pairs (a, b) whose sizes and bitmaps leave the threshold within reach."""
+
+    def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            m, k = (_maps(part.select([c]).rename_columns(["bits"])) for c in ("x", "y"))
+            s, t = part.column("m").to_numpy(), part.column("n").to_numpy()
+            both = np.concatenate((m, k))
+            i, j = alike(both, np.concatenate((s, t)), np.arange(2 * len(m)), np.arange(len(m)), np.arange(len(m)) + len(m), percent)
+            yield part.select(["a", "b"]).take(pa.array(i))
+
+    return keep
+
+
+def _within_reach(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those pairs that the bound of their bitmaps leaves; a doc_id with several texts has several bitmaps."""
+    bits = stash(_bits(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), words), "bits")
+    x = bits.select(F.col("rep").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x"))
+    y = bits.select(F.col("rep").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y"))
+    both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "m", "n", "x", "y")
+    out = stash(mapped(both, _reachable(percent), "a long, b long").distinct(), "near")
+    unstash(bits)
+    return out
+
+
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITS, np.uint8)
     bits[(tokens % np.uint64(BITS)).astype(np.int64)] = 1
@@ -349,8 +380,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from by_group(batches, solve, CHUNK)
 
 
-def _maps(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(t), -1)
+def _maps(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1)
 
 
 def _hopeful(percent: int):
@@ -406,7 +437,7 @@ def _residual(groups: DataFrame, settled: DataFrame, docs: DataFrame, words: int
     spread = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     opened = stash(member.join(spread.hint("merge"), "key", "left_semi"), "open")
     unstash(member)
-    bits = mapped(_texts(docs, opened.select("rep").distinct()), _mapped_bits(words), "rep long, size long, bits binary")
+    bits = _bits(docs, opened.select("rep").distinct(), words)
     ranged = opened.join(bits.hint("merge"), "rep").repartitionByRange("key", "component", "size", "rep").sortWithinPartitions("key", "component", "size", "rep")
     noded = stash(ranged.select("rep", "key", "component", "size", "bits").mapInArrow(_noded(hot), "rep long, key long, component long, size long, bits binary, node long"), "noded")
     # Nodes of groups that have several meet as rows of a table; a node always meets itself.
@@ -446,7 +477,7 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: in
     tops = groups.where("n = 0").join(_led_twice(groups).hint("merge"), "key").where("lead > top").select(F.col("top").alias("a"), F.col("lead").alias("b"))
     stars = groups.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).union(tops).distinct()
     near = stash(_sized(stars, classes, percent), "stars")
-    first = _exact(near, docs, words, percent)
+    first = _exact(_within_reach(near, docs, words, percent), docs, words, percent)
     settled = components(first)
     pairs = _residual(groups, settled, docs, words, percent, hot)
     left = stash(pairs.join(near, ["a", "b"], "left_anti"), "pairs")
