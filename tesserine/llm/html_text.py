@@ -3,13 +3,15 @@
 The standard library's parser is fed the whole page. Its events are cut into lines at block elements, each with
 its text length, its number of tags and of linked characters, and the elements around it. The ratio of text to
 tags of each line is smoothed with a Gaussian kernel; lines above the threshold (the ratios' standard deviation,
-at most their mean) form clusters, and the region that holds clustered text is the content: the article or
-main elements if the page has any, else the span of the page from the first to the last clustered line. Lines
-inside that region are kept whole, short ones too, but for page furniture: elements whose name, role, class or id
-says menu, header, footer, sidebar, notice, advert, form or comments, scripts, styles and hidden parts. With several
-regions all are kept. Class, id and form are only hints, decided on when the page has been read: such an element
-stays if it holds the region with most text or, on a page without regions, more than half of the text; a form also
-if it holds more than half of that region.
+at most their mean) that are not mostly links form clusters, and clusters choose the content regions: with most of the clustered text inside
+article, main or likewise named elements, those elements that hold clustered lines; else the span of the page from the
+first to the last clustered line. A region without a clustered line is none, whatever its name. Lines inside the regions are kept whole, short ones
+too, but for page furniture: menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles and hidden parts.
+
+Element names and roles say so for certain. Class and id only help. Where a whole name of a class says furniture (`ad`,
+`site-footer`, `cookie-notice`), the element goes unless it holds the region with most text or, on a page without regions, more
+than half of the text; a form also if it holds more than half of that region. Where a word of it is merely part of a name
+(`life-form`, `legal-analysis`, `share-price`), the ratios decide: the element stays if most of its text is clustered.
 
 Edges: null, empty and text-free pages give an empty text; broken markup never raises: the parser reads on,
 unclosed elements end with their parent; equal rows give equal rows; extra columns are ignored.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from .common import mapped
 
-#: HTML element groups.
+#: HTML's element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br picture source map area object embed".split())
 HIDDEN = frozenset("script style noscript template head title iframe svg canvas object audio video nav footer aside button select textarea input option dialog menu fieldset datalist".split())
@@ -40,6 +42,8 @@ FURNITURE = frozenset(
     "social share shares sharing sharebar follow related recommended recommendations recirc trending popular widget widgets "
     "comment comments commentlist disqus respond replies reply pagination pager pagenav skip search searchform form legal copyright disclaimer outbrain taboola".split()
 )
+#: Words of names that often mean something else; they never say furniture for certain.
+DOUBTFUL = frozenset("form legal share shares follow related popular trending rail foot head login search widget widgets banner notice notices register skip".split())
 HEADS = frozenset(("header", "head"))
 REGIONS = ("article", "main")
 NAMED = frozenset("article content main post entry story articlebody maincontent postbody".split())
@@ -48,8 +52,22 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SIGMA, HALF = 1.5, 4
 
 
-#: Kinds of furniture: by hints that what it holds can refute, and for certain.
-HINTED, CERTAIN = 1, 2
+#: Kinds of furniture: by hints that ratios decide on, by hints that what it holds can refute, and for certain.
+DOUBTED, HINTED, CERTAIN = 1, 2, 3
+
+
+def named_furniture(value: str, inside: bool, tag: str) -> int:
+    """What the names in a class or id say."""
+    kind = 0
+    for name in value.split():
+        parts = [w.lower() for w in _PARTS.findall(name)]
+        found = [w in FURNITURE for w in parts]
+        if any(found):
+            sure = all(found) and not set(parts) <= DOUBTFUL - {"notice"} or parts[-1] in FURNITURE - DOUBTFUL
+            kind = max(kind, HINTED if sure or len(parts) == 1 else DOUBTED)
+        elif not inside and tag == "div" and HEADS & set(parts):
+            kind = max(kind, HINTED)
+    return kind
 
 
 def furniture(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
@@ -66,9 +84,7 @@ def furniture(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> in
             if tag != "form":
                 return CERTAIN
         if name in ("class", "id"):
-            words = {w.lower() for w in _PARTS.findall(value)}
-            if words & FURNITURE or not inside and words & HEADS and tag == "div":
-                kind = HINTED
+            kind = max(kind, named_furniture(value, inside, tag))
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return CERTAIN
     return kind
@@ -85,8 +101,9 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []
         self.region = self.regions = self.inner = 0
         self.hints: tuple[int, ...] = ()
-        #: Hinted elements, whether each is a form; by innermost region the hinted elements around it.
+        #: Hinted elements, whether each is a form or doubted; by innermost region the hinted elements around it.
         self.forms: list[bool] = []
+        self.doubted: list[bool] = []
         self.around: dict[int, tuple[int, ...]] = {0: ()}
 
     def end_line(self) -> None:
@@ -116,6 +133,7 @@ class Lines(HTMLParser):
         for hints, inner in own:
             if inner == top and 2 * own[hints, inner] > held[top] and (not top or self.forms[hints[-1]]):
                 opened.update(hints)
+        opened.update(self.cleared())
         out = []
         for parts, tags, region in self.lines:
             seen = [(data, linked) for data, linked, hints, _ in parts if opened.issuperset(hints)]
@@ -124,6 +142,23 @@ class Lines(HTMLParser):
                 out.append((text, tags, sum(len(data) for data, linked in seen if linked), region))
         return out
 
+    def cleared(self) -> set[int]:
+        """Doubted elements most of whose text lies in clustered lines, all lines counted."""
+        if not any(self.doubted):
+            return set()
+        texts = [" ".join("".join(data for data, *_ in parts).split()) for parts, _, _ in self.lines]
+        linked = [sum(len(data) for data, link, *_ in parts if link) for parts, _, _ in self.lines]
+        good = clustered([(t, n, k) for t, (_, n, _), k in zip(texts, self.lines, linked, strict=True)])
+        held, own = Counter(), Counter()
+        for (parts, _, _), ok in zip(self.lines, good, strict=True):
+            for data, _, hints, _ in parts:
+                for h in hints:
+                    if self.doubted[h]:
+                        n = sum(map(len, data.split()))
+                        held[h] += n
+                        own[h] += n * bool(ok)
+        return {h for h in held if 2 * own[h] > held[h]}
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.end_line()
@@ -144,9 +179,10 @@ class Lines(HTMLParser):
         self.stack.append((tag, hides, self.region, self.inner, self.hints))
         self.skip += hides
         self.links += tag == "a"
-        if kind == HINTED and not self.skip:
+        if kind in (HINTED, DOUBTED) and not self.skip:
             self.hints += (len(self.forms),)
             self.forms.append(tag == "form")
+            self.doubted.append(kind == DOUBTED)
         if not self.skip and (tag in REGIONS or attrs and tag in ("div", "section", "td") and self.named(attrs)):
             self.regions += 1
             self.inner = self.regions
@@ -191,6 +227,12 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel, "full")[HALF : HALF + len(ratios)] / weight
 
 
+def clustered(lines: list[tuple[str, int, int]]) -> np.ndarray:
+    """Which lines (text, tags, linked characters) are content: their smoothed ratio is above the threshold and they are not mostly links."""
+    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _ in lines], float))
+    return (ratio >= min(ratio.std(), ratio.mean())) & np.array([bool(t) and 2 * k <= len(t) for t, _, k in lines])
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -201,14 +243,15 @@ def main_text(html: str | None) -> str:
     lines = page.shown()
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _, _ in lines], float))
-    content = ratio >= min(ratio.std(), ratio.mean())
-    held = {region for text, _, linked, region in lines if region and 2 * linked <= len(text)}
-    if held:
+    good = np.flatnonzero(clustered([line[:3] for line in lines])).tolist()
+    if not good:
+        return ""
+    inside = sum(len(lines[i][0]) for i in good if lines[i][3])
+    if 2 * inside >= sum(len(lines[i][0]) for i in good):
+        held = {lines[i][3] for i in good} - {0}
         kept = [t for t, _, _, r in lines if r in held]
     else:
-        good = [i for i, (t, _, linked, _) in enumerate(lines) if content[i] and 2 * linked <= len(t)]
-        kept = [t for i, (t, _, linked, _) in enumerate(lines) if good and good[0] <= i <= good[-1] and 2 * linked <= len(t)]
+        kept = [t for i, (t, _, linked, _) in enumerate(lines) if good[0] <= i <= good[-1] and 2 * linked <= len(t)]
     return "\n\n".join(kept)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import as_rows, field, mapped, with_own
 
-#: What a candidate may look like.
+#: What a candidate may look like.
 CANDIDATE = re.compile(
     # Blocks with header lines or without; where the end is missing, as far as their lines go.
     r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[nr])*[A-Za-z][A-Za-z\-]*:\x20[^\n\\]*(?:\s|\\[nr])+)*"
@@ -39,19 +39,19 @@ CANDIDATE = re.compile(
     r"|(?<![A-Za-z0-9_\-+/=.])[A-Za-z][A-Za-z0-9_\-]*\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
     r"|(?<![A-Za-z0-9_\-+/])(?=[A-Za-z_\-+/]{0,200}[0-9])[A-Za-z0-9_\-+/]{12,}={0,2}"
 )
-#: What is assigned to a key word is a candidate whatever its characters.
+#: What is assigned to a key word is a candidate whatever its characters.
 ASSIGNED = re.compile(
     r"(?:passw(?:or)?d|pwd|secret|token|api[_\-]?key|credentials?|authorization|bearer|(?<![a-z])(?:auth|key|access|private)(?![a-z])|access[_\-]?key|private[_\-]?key)"
     r"[a-z0-9_\-]{0,24}[\"'`\]]{0,2}\s{0,8}(?::=|=>|==?|:|\bis\b)\s{0,8}(?:(?:bearer|basic)\s{1,8})?"
     r"(?:\"(?P<a>[^\"\n]{6,})\"|'(?P<b>[^'\n]{6,})'|`(?P<c>[^`\n]{6,})`|(?P<d>[^\s\"'`]{6,}))",
     re.I,
 )
-#: Words beside secrets, words beside look-alikes, issuers' prefixes.
+#: Words beside secrets, words beside look-alikes, issuers' prefixes.
 KEY_WORDS = frozenset("token secret password passwd pwd apikey api_key key auth authorization bearer credential credentials private access_key secret_key client_secret access".split())
 HARMLESS = frozenset("commit sha sha1 sha256 md5 checksum digest hash etag revision uuid guid id build version integrity hex color order invoice isbn phone card account file image data trace request session".split())
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghr_", "github_pat_", "xoxb-", "xoxp-", "xoxa-", "sk_live_", "rk_live_", "sk-", "AIza", "eyJ", "SG.", "glpat-", "npm_", "pypi-", "ya29.", "hf_")
 TEST_PATH = re.compile(r"test|example|sample|fixture|mock|lock|vendor|docs?/|\.md$|\.min\.", re.I)
-#: A small dictionary for the coverage of candidates by words.
+#: A small dictionary for the coverage of candidates by words.
 WORDS = frozenset(
     "the and for with this that from have not are was you all can has new get set name user users file files path data list item index page view test main "
     "class value values type string number object array function return import export default config server client service manager handler controller model "
@@ -81,7 +81,7 @@ def coverage(s: str) -> float:
     return hit / max(1, letters)
 
 
-#: The commonest letter pairs of European languages.
+#: The commonest letter pairs of European languages.
 PAIRS = frozenset("th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ch ie ge un ei el la os do ue ad ta me ic co io ns".split())
 
 

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Common words of English, French, German and Spanish that open a spot.
+#: Common words of English, French, German and Spanish that open a spot.
 COMMON = (
     "the of and to in is it that for with as was on be by this are or an at from he not but have had which you his her they "
     "le la les de des du un une et est que qui dans pour par sur au aux ne pas plus avec ce se son sa il elle "
@@ -44,10 +44,12 @@ def spots(text: Column) -> Column:
 
     def chains(parts: Column) -> Column:
         after = F.sequence(F.lit(2), F.size(parts))
-        ahead = lambda i: F.substring_index(F.trim(F.array_join(F.slice(parts, i, 3), "")), " ", 2)
+        ahead = lambda i: F.substring_index(F.trim(F.array_join(F.slice(parts, i, 2), "")), " ", 2)
         return F.when(F.size(parts) > 1, F.transform(after, ahead)).otherwise(_pairs(parts[0]))
 
-    found = _let(F.split(marked, " " + _ANCHOR), chains)
+    # Common words in a row open the same chain, whatever their number: one of them stands for all.
+    single = F.regexp_replace(marked, f"(?: {_ANCHOR})++", " " + _ANCHOR)
+    found = _let(F.split(single, " " + _ANCHOR), chains)
     hashed = F.transform(F.filter(found, lambda c: c != ""), lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.array_sort(F.array_distinct(hashed))
 

@@ -161,6 +161,40 @@ def test_words_assigned_to_keys_are_judged():
         assert n == 1 and found == []
 
 
+PLAIN = """<body><div><a href=/a>Home</a></div><div><a href=/b>News</a></div><div><a href=/c>Sport</a> <a href=/d>More</a></div>
+<div>{0}</div><div>{1}</div><div>Short.</div><div>{0}</div><div><a href=/e>Next</a></div><div><b>Tags</b> <i>x</i></div><div><a href=/f>Imprint</a></div></body>"""
+
+
+def test_html_ratios_decide(monkeypatch):
+    long = "A sentence of the article that is long enough to stand out from the rest of the page. " * 4
+    page = PLAIN.format(long.strip(), long.strip() + " More.")
+    want = "\n\n".join([long.strip(), long.strip() + " More.", "Short.", long.strip()])
+    assert html_text.main_text(page) == want
+    r = np.random.default_rng(1)
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: r.random(len(ratios)))
+    assert any(html_text.main_text(page) != want for _ in range(5))
+
+
+def test_html_doubtful_names_and_regions():
+    long = "A sentence that is long enough to stand out from the rest of the page, as articles have them. " * 3
+    long = long.strip()
+    for name in ("life-form", "legal-analysis", "share-price", "related-work"):
+        page = f"<article><p>{long}</p><div class={name}><p>{long}</p><p>{long}</p></div><p>{long}</p></article>"
+        assert html_text.main_text(page) == "\n\n".join([long] * 4)
+        page = f"<article><p>{long}</p><p>{long}</p><div class={name}><a href=x>a</a> <a href=y>b</a> c</div><p>{long}</p></article>"
+        assert html_text.main_text(page) == "\n\n".join([long] * 3)
+    for name in ("ad", "user-comments", "cookie-notice", "site-footer", "newsletter"):
+        assert html_text.main_text(f"<article><p>{long}</p><p>{long}</p><div class={name}><p>{long}</p></div></article>") == "\n\n".join([long] * 2)
+    short = f"<div class=post><p>Read on.</p></div><div><p>{long}</p><p>{long}</p><p>{long}</p></div>"
+    assert long in html_text.main_text(short)
+
+
+def test_common_words_in_a_row_open_chains(spark):
+    rows = [(0, "as it is in the red house"), (1, "the red house"), (2, "the " * 30_000 + "red house")]
+    got = [r.s for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", spot_signatures.spots(F.col("text")).alias("s")).orderBy("doc_id").collect()]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 1
+
+
 @pytest.mark.parametrize("special", [True, False])
 def test_tokens_match_the_library(special):
     from tokenizers import Tokenizer
