@@ -148,7 +148,9 @@ class Lines(HTMLParser):
             return set()
         texts = [" ".join("".join(data for data, *_ in parts).split()) for parts, _, _ in self.lines]
         linked = [sum(len(data) for data, link, *_ in parts if link) for parts, _, _ in self.lines]
-        good = clustered([(t, n, k) for t, (_, n, _), k in zip(texts, self.lines, linked, strict=True)])
+        lines = [(t, n, k) for t, (_, n, _), k in zip(texts, self.lines, linked, strict=True)]
+        ratio = np.array([len(t) / max(1, n) for t, n, _ in lines], float)
+        good = clustered(lines) & (ratio >= min(ratio.std(), ratio.mean()))  # what the neighbours lend does not count here
         held, own = Counter(), Counter()
         for (parts, _, _), ok in zip(self.lines, good, strict=True):
             for data, _, hints, _ in parts:
