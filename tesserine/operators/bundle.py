@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import TableError, invalid
@@ -153,10 +154,11 @@ class Bundle:
 
     def visit(self, visitor: Callable[[int, list], bool | None], plan: P.ReadPlan, row_groups: list[int] | None = None) -> bool:
         """Call visitor(row_group_id, rows) in plan order, one row group in memory at a time; False stops. Returns whether all were visited."""
-        chosen = plan.row_groups if row_groups is None else P.subset(plan, row_groups)
-        for g in chosen:
-            rows = self.rows.where(F.col("row_group_id") == g).orderBy("row_in_group").select(*plan.columns).collect()
-            if visitor(g, rows) is False:
+        # One ordered read for all row groups; partitions come to the driver one after the other.
+        ordered = self.read_plan(plan, row_groups).orderBy("plan_ordinal", "row_in_group").select("row_group_id", *(F.col(c).alias(f"_{i}") for i, c in enumerate(plan.columns)))
+        make = Row(*plan.columns)
+        for g, rows in groupby(ordered.toLocalIterator(), key=lambda r: r[0]):
+            if visitor(g, [make(*r[1:]) for r in rows]) is False:
                 return False
         return True
 

@@ -40,6 +40,19 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; a folder of this machine only where Spark runs on it alone."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 # --- bundles ----------------------------------------------------------------------------------------------
 
 GROUP = 1024
@@ -178,14 +191,9 @@ def bundle_append_snapshot(spark, d):
 @query("select 2 as generation, 1 as previous_generation, count(*) as n_rows from orders")
 def table_create_append_open(spark, d):
     """A table written in two commits to the shared folder and opened again."""
-    import tempfile
-
     from .sources.catalog import TableFile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    import uuid
-
-    path = f"{base}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     half = df.agg(F.expr("max(o_orderkey) div 2")).head()[0]
     t, _ = TableFile.create(spark, path, df.where(F.col("o_orderkey") <= half), columns_of(df.schema), ["o_orderkey"], group_rows=GROUP)
@@ -312,22 +320,22 @@ def cells(t: X.Tensor) -> DataFrame:
     return t.cells.select(*t.axes, "value")
 
 
-EVENT_DAYS = "a as (select (datediff('day', (select min(ts)::date from events), ts::date)) as d, (select count(distinct y.event_type) from events y where y.event_type < x.event_type) as k, user_id as u, value as v from events x where user_id < 10), s as (select d as i0, k as i1, u as i2, round(sum(v), 6) as value from a group by all), n as (select datediff('day', min(ts)::date, max(ts)::date) + 1 as days, count(distinct event_type) as kinds from events)"
+EVENT_DAYS = "a as (select (datediff('day', (select min(ts)::date from events), ts::date)) as d, (select count(distinct y.event_type) from events y where y.event_type < x.event_type) as k, user_id as u, value as v from events x), s as (select d as i0, k as i1, u as i2, round(sum(v), 6) as value from a group by all), n as (select datediff('day', min(ts)::date, max(ts)::date) + 1 as days, count(distinct event_type) as kinds, max(user_id) + 1 as users from events)"
 
 
 def event_tensor(spark, d) -> X.Tensor:
-    """Day by event type by user (below 10), summed values; combinations without events are absent."""
+    """Day by event type by user, summed values; combinations without events are absent."""
     from pyspark.sql import Window
 
     e = table(spark, d, "events")
-    r = e.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("z"), F.count_distinct("event_type").alias("k")).head()
+    r = e.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("z"), F.count_distinct("event_type").alias("k"), F.max("user_id").alias("u")).head()
     kinds = e.select("event_type").distinct().withColumn("k", F.row_number().over(Window.orderBy("event_type")) - 1)
-    rows = e.where("user_id < 10").join(kinds, "event_type")
+    rows = e.join(kinds, "event_type")
     g = rows.groupBy(F.datediff(F.to_date("ts"), F.lit(r["a"])).alias("a"), "k", "user_id").agg(F.round(F.sum("value"), 6).alias("v"))
-    return X.from_frame(g, ["a", "k", "user_id"], "v", "f64", ((r["z"] - r["a"]).days + 1, r["k"], 10))
+    return X.from_frame(g, ["a", "k", "user_id"], "v", "f64", ((r["z"] - r["a"]).days + 1, r["k"], r["u"] + 1))
 
 
-@query(f"with {EVENT_DAYS}, g as (select unnest(range(days)) as i0, kinds from n), g1 as (select i0, unnest(range(kinds)) as i1 from g), g2 as (select i0, i1, unnest(range(10)) as i2 from g1) select i0, i1, i2, coalesce(value, -1.0) as value, value is not null as valid from g2 left join s using (i0, i1, i2)")
+@query(f"with {EVENT_DAYS}, g as (select unnest(range(days)) as i0, kinds, users from n), g1 as (select i0, unnest(range(kinds)) as i1, users from g), g2 as (select i0, i1, unnest(range(users)) as i2 from g1) select i0, i1, i2, coalesce(value, -1.0) as value, value is not null as valid from g2 left join s using (i0, i1, i2)")
 def tensor_dense_fill(spark, d):
     return X.dense(event_tensor(spark, d), -1)
 
@@ -400,13 +408,9 @@ HISTORY = "p as (select month(ts) % 3 as part, user_id % 16 as u, value from eve
 
 def _store(spark, d):
     """A store with three appends: values by user modulo 16, of months in thirds."""
-    import tempfile
-    import uuid
-
     from .sources.tensor_store import TensorStore
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    store = TensorStore.create(spark, f"{base}/tensor-{uuid.uuid4().hex}", "f64", (16,))
+    store = TensorStore.create(spark, scratch(spark, "tensor"), "f64", (16,))
     e = table(spark, d, "events").groupBy((F.month("ts") % 3).alias("part"), (F.col("user_id") % 16).alias("u")).agg(F.round(F.sum("value"), 4).alias("v"))
     seqs = []
     for part in range(3):
@@ -722,3 +726,6 @@ _TYPES: dict[str, dict[str, str]] = {
 for _name, _casts in _TYPES.items():
     _columns = ", ".join(f"{c}::{t} as {c}" for c, t in _casts.items())
     ORACLE_SQL[_name] = f"select * replace ({_columns}) from ({ORACLE_SQL[_name]}) as _typed"
+
+# Queries of stored tables and tensors register themselves beside these.
+from . import store_queries  # noqa: E402, F401
