@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import TableError, invalid
@@ -56,8 +56,8 @@ def _from_flat(rows: DataFrame, dtype: str, shape: tuple[int, ...]) -> Tensor:
 
 
 def read_csv(spark: SparkSession, path: str, check_order: bool = True) -> Tensor:
-    df = spark.read.option("header", "true").csv(path).withColumn("_at", F.monotonically_increasing_id())
-    if tuple(df.columns[:-1]) != CSV_COLUMNS:
+    df = _placed(spark.read.option("header", "true").csv(path))
+    if tuple(df.columns[: -len(PLACE)]) != CSV_COLUMNS:
         raise invalid("malformed header")
     meta = df.where("record = 'metadata'").limit(2).collect()
     if len(meta) != 1 or meta[0]["order"] != "row_major":
@@ -69,21 +69,33 @@ def read_csv(spark: SparkSession, path: str, check_order: bool = True) -> Tensor
     dtype = meta[0]["dtype"]
     if dtype not in DTYPES:
         raise invalid(f"unknown dtype {dtype}")
-    rows = df.where("record = 'value'").select(F.col("flat_index").try_cast("bigint").alias("flat_index"), F.col("value").try_cast(DTYPES[dtype]).alias("value"), "_at")
+    rows = df.where("record = 'value'").select(F.col("flat_index").try_cast("bigint").alias("flat_index"), F.col("value").try_cast(DTYPES[dtype]).alias("value"), *PLACE)
     _check(rows, df, check_order)
-    return _from_flat(rows.drop("_at"), dtype, shape)
+    return _from_flat(rows.drop(*PLACE), dtype, shape)
 
 
 def _check(rows: DataFrame, df: DataFrame, check_order: bool) -> None:
     if not rows.where("flat_index is null or value is null").isEmpty() or not df.where("record not in ('metadata', 'value')").isEmpty():
         raise invalid("malformed row")
     if check_order:
-        from pyspark.sql import Window
+        _check_order(rows)
 
-        part = F.shiftright("_at", 33)
-        before = F.lag("flat_index").over(Window.partitionBy(part).orderBy("_at"))
-        if not rows.withColumn("before", before).where("before >= flat_index").isEmpty():
-            raise invalid("flat index out of order")
+
+#: Where a row was read: its file, the split of the file, and its place in that.
+PLACE = ("_file", "_start", "_at")
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+
+
+def _check_order(rows: DataFrame) -> None:
+    """flat_index must ascend in every split, and from one split to the next in order of files; splits are few."""
+    before = F.lag("flat_index").over(Window.partitionBy("_file", "_start").orderBy("_at"))
+    ends = rows.groupBy("_file", "_start").agg(F.min("flat_index").alias("low"), F.max("flat_index").alias("high"))
+    last = F.lag("high").over(Window.orderBy("_file", "_start"))
+    if not rows.withColumn("before", before).where("before >= flat_index").isEmpty() or not ends.withColumn("last", last).where("last >= low").isEmpty():
+        raise invalid("flat index out of order")
 
 
 def read_parquet(spark: SparkSession, path: str, dtype: str | None = None, shape: tuple[int, ...] | None = None) -> Tensor:
@@ -97,6 +109,7 @@ def read_parquet(spark: SparkSession, path: str, dtype: str | None = None, shape
         raise invalid("dtype or shape differs from the metadata")
     if dict(df.dtypes)["value"] != DTYPES[meta["dtype"]]:
         raise invalid("column type differs from the dtype")
+    _check_order(_placed(df))
     return _from_flat(df, meta["dtype"], tuple(meta["shape"]))
 
 

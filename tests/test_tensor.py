@@ -7,6 +7,8 @@ from tesserine.errors import TableError, Unimplemented
 from tesserine.operators import coords as C
 from tesserine.operators import sparse as S
 from tesserine.operators import tensor as X
+from pyspark.sql import functions as F
+
 from tesserine.sources import companions
 from tesserine.sources.tensor_store import TensorStore
 
@@ -224,6 +226,17 @@ def test_coordinates(spark, tmp_path):
     assert C.lookup(co, C.Axis(0, "external"), "i64", 1).status == "unavailable"
 
 
+def test_parquet_companion_out_of_order(spark, tmp_path, t):
+    rows = companions.flat_rows(t)
+    companions.write_parquet(t, str(tmp_path / "p"))
+    kept = spark.read.parquet(str(tmp_path / "p"))
+    kept.coalesce(1).orderBy(F.desc("flat_index")).write.parquet(str(tmp_path / "down"))
+    rejects(companions.read_parquet, spark, str(tmp_path / "down"))
+    kept.repartition(3, "flat_index").sortWithinPartitions("flat_index").write.parquet(str(tmp_path / "mixed"))
+    rejects(companions.read_parquet, spark, str(tmp_path / "mixed"))
+    assert rows.count() == kept.count()
+
+
 def test_companions(spark, tmp_path, t):
     companions.write_csv(t, str(tmp_path / "csv"))
     same(companions.read_csv(spark, str(tmp_path / "csv"), check_order=False), A)
