@@ -25,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set only where none is configured, as in tests."""
+    """The folder that all executors share; a temporary one is set only where none is configured and Spark runs on this machine alone, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             where = found.get()
+        elif not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             where = tempfile.mkdtemp(prefix="tesserine-")
             spark.sparkContext.setCheckpointDir(where)
