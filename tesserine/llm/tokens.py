@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,7 @@ from . import anchors
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Code points worked on at once, pre-tokens remembered at most.
-BLOCK, REMEMBERED = 1 << 17, 1 << 17
+BLOCK, REMEMBERED = 1 << 19, 1 << 18
 #: Unicode's White_Space.
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 DEFAULT = "byte_bpe_50k.json"
@@ -111,7 +112,7 @@ class WordTokenizer:
         found = self.known.get(word)
         if found is None:
             letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_byte_letters())
-            found = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[word] = found
