@@ -1,14 +1,13 @@
-"""Best-fit packing of tokenised documents into fixed-size sequences, in bulk-synchronous rounds.
+"""Best-fit packing of tokenised documents into fixed-size sequences.
 
-Documents are tokenised whole, closed by an end id, and cut only when longer than the capacity. Pieces and open
-gaps are both kept in order of size. A round takes the largest size that still has pieces and sweeps the ordered
-gaps for the successors of that size: the pieces, in order of rank, take the smallest gaps that hold them, one
-piece a gap; as ranks are disjoint no two pieces want one gap. Gaps are updated and the rounds go on until all
-pieces of the size have a place; where no gap is left, new sequences open.
+Documents are tokenised whole, closed by an end id, and cut only when longer than the capacity. Sizes of pieces and gaps are integers
+up to the capacity. From the largest size on, the pieces of a size, in order of rank, take the smallest gaps that hold
+them, one piece a gap, until all have a place; where no gap is left, new sequences open. This works on counts: runs of equal
+gaps (first sequence, number) meet runs of equal pieces (first rank, number).
 
-Sizes and gaps are integers up to the capacity, so a sweep works on counts: runs of equal gaps (first sequence,
-number) meet runs of equal pieces (first rank, number). What the sweep decides is a table of such runs, bounded by
-capacity and pieces per sequence, not by the number of documents. Ranks within a size are given to the rows in
+What is decided is a table of such runs, bounded by capacity and pieces per sequence, not by the number of documents; it is made
+on the driver (`plan`) and sent out. This departs from distributed successor sweeps over rows with conflicts between
+them: with counts no two pieces want one gap. Ranks within a size are given to the rows in
 parallel: counts by (part, size) are summed up over parts, and every part numbers its own rows.
 
 Edges: null and empty texts are one piece of the end id; repeated rows are packed as often as they come; an empty table
