@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import TableError, invalid
-from ..functions.binary import WIDTHS, read_le, write_le
+from ..functions import packed
+from ..functions.binary import SPARK_TYPES, WIDTHS, write_le
 
 #: The layout of the 168-byte order and trade records.
 WIDTH, MAGIC, SCHEMA, HEADER = 168, b"ALIR", 1, 80
@@ -21,7 +24,15 @@ FIELDS = {
 }
 SYMBOL, BODY = (56, 9), (80, 7)
 WORDS = (88, 96, 104, 112, 120, 128, 136, 144, 152, 160)
-LANES = ("day_key", "channel_id", "biz_index", "record_kind", "receive_nano", "source_ordinal", "payload_header_bytes_11_12", "payload_exchange_time", "payload_symbol", "payload_body_bytes_80_86")
+#: The typed lanes: (name, offset, kind of integer or number of bytes, type).
+LANES: list[packed.Lane] = [
+    ("day_key", 16, "u32", T.IntegerType()), ("channel_id", 20, "i32", T.LongType()), ("biz_index", 24, "i64", T.LongType()), ("record_kind", 10, "u8", T.IntegerType()),
+    ("receive_nano", 40, "i64", T.LongType()), ("source_ordinal", 32, "u64", T.LongType()), ("payload_header_bytes_11_12", 11, 2, T.BinaryType()),
+    ("payload_exchange_time", 48, "i64", T.LongType()), ("payload_symbol", *SYMBOL, T.BinaryType()), ("payload_body_bytes_80_86", *BODY, T.BinaryType()),
+    *((f"payload_body_word_{o}", o, "i64", T.LongType()) for o in WORDS),
+]
+#: What every record holds besides its lanes.
+BLANK = (MAGIC + SCHEMA.to_bytes(2, "little") + HEADER.to_bytes(2, "little") + WIDTH.to_bytes(2, "little")).ljust(WIDTH, b"\0")
 
 
 def word_column(offset: int) -> str:
@@ -64,64 +75,67 @@ class Projection:
         return F.col(name)
 
 
+def _typed(fields: dict[str, tuple[int, str]]) -> list[packed.Lane]:
+    return [(name, offset, kind, T.StructType.fromDDL(f"x {SPARK_TYPES[kind]}")["x"].dataType) for name, (offset, kind) in fields.items()]
+
+
 def project(df: DataFrame, p: Projection, keep: tuple[str, ...] = ()) -> DataFrame:
     """The fields as typed columns; a record of another width, or a null where none is allowed, raises."""
-    value = F.col(p.column)
-    fail = lambda why: F.raise_error(F.lit(f"fixed_binary_width_mismatch: {why}")).cast("binary")
-    sound = F.when(value.isNull(), F.lit(None).cast("binary") if p.allow_nulls else fail("null record"))
-    sound = sound.when(F.length(value) != p.width, fail(f"expected {p.width} bytes")).otherwise(value)
-    return df.withColumn("_record", sound).select(*keep, *(read_le(F.col("_record"), f.offset, f.kind).alias(f.name) for f in p.fields))
+    width, nulls = p.width, p.allow_nulls
 
+    def check(lengths: np.ndarray) -> None:
+        if not nulls and (lengths < 0).any():
+            raise ValueError("fixed_binary_width_mismatch: null record")
+        if ((lengths >= 0) & (lengths != width)).any():
+            raise ValueError(f"fixed_binary_width_mismatch: expected {width} bytes")
 
-def zero(value: Column, offset: int, width: int) -> Column:
-    return F.hex(F.substring(value, offset + 1, width)) == "00" * width
+    return packed.decoded(df, p.column, width, _typed({f.name: (f.offset, f.kind) for f in p.fields}), keep, check)
 
 
 def header_error(record: Column) -> Column:
-    """The error kind of a record, null if it is sound; checks run in the order of the layout."""
-    at = lambda name: read_le(record, *FIELDS[name])
-    bad, kind = F.lit("payload_header_mismatch"), at("record_kind")
+    """The error kind of a record, null if it is sound; checks run in the order of the layout, on bytes as they are."""
+    at = lambda offset, width: F.substring(record, offset + 1, width)
+    raw = lambda b: F.lit(bytearray(b))
+    zero = lambda offset, width: at(offset, width) == raw(bytes(width))
+    one = lambda name, values: at(FIELDS[name][0], 1).isin(*(raw([v]) for v in values))
+    bad, kind = F.lit("payload_header_mismatch"), at(FIELDS["record_kind"][0], 1)
+    not_above_zero = lambda name: (at(sum(_place(name)) - 1, 1) >= raw(b"\x80")) | zero(*_place(name))
     return (
         F.when(record.isNull() | (F.length(record) != WIDTH), "fixed_binary_width_mismatch")
-        .when(F.hex(F.substring(record, 1, 4)) != MAGIC.hex().upper(), bad)
-        .when(at("schema_version") != SCHEMA, "unsupported_schema_version")
-        .when((at("header_len") != HEADER) | (at("record_len") != WIDTH) | ~kind.isin(ORDER, TRADE), bad)
-        .when(~at("source_family").isin(*FAMILIES) | (at("exchange_id") > TOP_EXCHANGE), bad)
-        .when(~zero(record, 13, 3) | ~zero(record, 65, 15), bad)
-        .when((at("trading_day") == 0) | (at("channel_id") <= 0) | (at("biz_index") <= 0) | ~zero(record, 87, 1), bad)
-        .when((kind == ORDER) & ~(zero(record, 82, 1) & zero(record, 104, 16) & zero(record, 152, 8)), bad)
-        .when((kind == TRADE) & ~(zero(record, 83, 1) & zero(record, 86, 1)), bad)
+        .when(at(0, 4) != raw(MAGIC), bad)
+        .when(at(4, 2) != raw(BLANK[4:6]), "unsupported_schema_version")
+        .when((at(6, 4) != raw(BLANK[6:10])) | ~one("record_kind", (ORDER, TRADE)), bad)
+        .when(~one("source_family", FAMILIES) | ~one("exchange_id", range(TOP_EXCHANGE + 1)), bad)
+        .when(~zero(13, 3) | ~zero(65, 15), bad)
+        .when(zero(*_place("trading_day")) | not_above_zero("channel_id") | not_above_zero("biz_index") | ~zero(87, 1), bad)
+        .when((kind == raw([ORDER])) & ~(zero(82, 1) & zero(104, 16) & zero(152, 8)), bad)
+        .when((kind == raw([TRADE])) & ~(zero(83, 1) & zero(86, 1)), bad)
     )
 
 
+def _place(name: str) -> tuple[int, int]:
+    offset, kind = FIELDS[name]
+    return offset, WIDTHS[kind]
+
+
 def decoded_header(df: DataFrame, column: str = "payload") -> DataFrame:
-    """df with every header field and error_kind."""
-    record = F.col(column)
-    return df.select("*", *(read_le(record, o, k).alias(n) for n, (o, k) in FIELDS.items()), header_error(record).alias("error_kind"))
+    """df with every header field, null where a record is too short for it, and error_kind."""
+    out = packed.decoded(df, column, WIDTH, _typed(FIELDS), tuple(df.columns))
+    return out.withColumn("error_kind", header_error(F.col(column)))
 
 
 def to_lanes(df: DataFrame, column: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The twenty typed lanes of each record."""
-    r = F.col(column)
-    at = lambda name, t: read_le(r, *FIELDS[name]).cast(t)
-    return df.select(
-        *keep,
-        at("trading_day", "int").alias("day_key"),
-        at("channel_id", "bigint").alias("channel_id"),
-        at("biz_index", "bigint").alias("biz_index"),
-        at("record_kind", "int").alias("record_kind"),
-        at("receive_nano", "bigint").alias("receive_nano"),
-        at("source_ordinal", "bigint").alias("source_ordinal"),
-        F.substring(r, 12, 2).alias("payload_header_bytes_11_12"),
-        at("exchange_time", "bigint").alias("payload_exchange_time"),
-        F.substring(r, SYMBOL[0] + 1, SYMBOL[1]).alias("payload_symbol"),
-        F.substring(r, BODY[0] + 1, BODY[1]).alias("payload_body_bytes_80_86"),
-        *(read_le(r, o, "i64").alias(word_column(o)) for o in WORDS),
-    )
+    """The twenty typed lanes of each record, null where a record is too short for one."""
+    return packed.decoded(df, column, WIDTH, LANES, keep)
+
+
+def to_records(df: DataFrame, name: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns to keep and the exact 168 bytes of each row's typed lanes."""
+    return packed.encoded(df, name, BLANK, [x[:3] for x in LANES], keep)
 
 
 def from_lanes() -> Column:
-    """The exact 168 bytes of a row of typed lanes."""
+    """The exact 168 bytes of a row of typed lanes, as an expression; to_records is the form for whole tables."""
     fixed = lambda b: F.lit(bytearray(b))
     head = MAGIC + SCHEMA.to_bytes(2, "little") + HEADER.to_bytes(2, "little") + WIDTH.to_bytes(2, "little")
     return F.concat(
@@ -135,8 +149,10 @@ def from_lanes() -> Column:
 def cross_checked(df: DataFrame, column: str = "payload", scalars: tuple[str, ...] = ("day_key", "channel_id", "biz_index", "record_kind", "receive_nano", "source_ordinal")) -> DataFrame:
     """df with same_<scalar> for each scalar column held against its record, and all_same."""
     from_record = {"day_key": "trading_day", **{s: s for s in scalars if s != "day_key"}}
-    same = {s: F.col(s).cast("decimal(20,0)") == read_le(F.col(column), *FIELDS[from_record[s]]).cast("decimal(20,0)") for s in scalars}
-    out = df.select("*", *(v.alias(f"same_{s}") for s, v in same.items()))
+    lanes = [(f"_record_{s}", offset, kind, t) for s in scalars for _, offset, kind, t in _typed({s: FIELDS[from_record[s]]})]
+    read = packed.decoded(df, column, WIDTH, lanes, tuple(df.columns))
+    same = {s: F.col(s).cast("decimal(20,0)") == F.col(f"_record_{s}").cast("decimal(20,0)") for s in scalars}
+    out = read.select(*df.columns, *(v.alias(f"same_{s}") for s, v in same.items()))
     return out.withColumn("all_same", F.array_min(F.array(*(F.col(f"same_{s}") for s in same))))
 
 

@@ -230,7 +230,7 @@ def _lanes(spark, d):
 
 @query("select (o_custkey % 8 + 1) as channel_id, o_orderkey + 1 as biz_index, (o_orderkey % 2 + 1)::int as record_kind, case when o_orderkey % 2 = 0 then 0 else o_custkey * 104 - 5000 end as word_104, o_custkey * 88 - 5000 as word_88, 168 as width, null as error_kind from orders")
 def record_lanes_round_trip(spark, d):
-    packed = _lanes(spark, d).select(records.from_lanes().alias("payload"))
+    packed = records.to_records(_lanes(spark, d))
     head = records.header_error(F.col("payload"))
     out = records.to_lanes(packed.withColumn("width", F.length("payload")).withColumn("error_kind", head), keep=("width", "error_kind"))
     return out.select("channel_id", "biz_index", "record_kind", F.col("payload_body_word_104").alias("word_104"), F.col("payload_body_word_88").alias("word_88"), "width", "error_kind")
@@ -238,10 +238,8 @@ def record_lanes_round_trip(spark, d):
 
 @query("select case o_orderkey % 7 when 0 then 'payload_header_mismatch' when 1 then 'unsupported_schema_version' when 2 then 'fixed_binary_width_mismatch' end as error_kind, count(*) as n from orders group by 1")
 def record_header_errors(spark, d):
-    good = records.from_lanes()
-    m = F.col("biz_index") % 7  # biz_index is the order key plus one
     cut = lambda a, n: F.substring(F.col("p"), a, n)
-    packed = _lanes(spark, d).select(good.alias("p"), m.alias("m"))
+    packed = records.to_records(_lanes(spark, d), "p", ("biz_index",)).withColumn("m", F.col("biz_index") % 7)  # biz_index is the order key plus one
     bad = (
         F.when(F.col("m") == 1, F.concat(F.lit(bytearray(b"XXXX")), cut(5, 164)))
         .when(F.col("m") == 2, F.concat(cut(1, 4), F.lit(bytearray(b"\x09\x00")), cut(7, 162)))

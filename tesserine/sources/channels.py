@@ -39,8 +39,8 @@ def channel_report(spark: SparkSession, rows: DataFrame, inputs: list[tuple[int,
 
 def certify_lanes(rows: DataFrame, order: tuple[str, ...] = ("base_row", "row_in_group")) -> DataFrame:
     """By channel: counts, ends, times, the first break in continuity, and whether every rebuilt record has a sound header."""
-    place = F.struct(*order)
-    seen = records.continuity(rows, order=order).withColumn("place", place).withColumn("bad", records.header_error(records.from_lanes()))
+    built = records.to_records(rows.withColumn("place", F.struct(*order)), keep=("place", "channel_id", "biz_index", "record_kind"))
+    seen = records.continuity(built.withColumn("bad", records.header_error(F.col("payload"))).drop("payload"), order=("place",))
     return seen.groupBy("channel_id").agg(
         F.count("*").alias("row_count"),
         F.min_by("biz_index", "place").alias("first_biz_index"),
