@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import TableError, invalid
 from ..functions.types import Column, columns_of
 from ..plans import predicates as P
+from ..scratch import stored
 from . import layout
 
 OWN = ["row_group_id", "base_row", "row_in_group"]
@@ -33,8 +34,9 @@ class Bundle:
 
     @staticmethod
     def build(df: DataFrame, keys: list[str], group_rows: int = layout.GROUP_ROWS, columns: list[Column] | None = None, dictionaries: DataFrame | None = None) -> Bundle:
+        """A bundle of df, whose ordered rows are written once: statistics and reads scan them, they do not order them again."""
         columns = columns or columns_of(df.schema)
-        rows = layout.grouped(df.select(*(c.name for c in columns)), keys, group_rows)
+        rows = stored(layout.grouped(df.select(*(c.name for c in columns)), keys, group_rows), "bundle")
         return Bundle(rows, columns, keys, layout.statistics(rows, columns), dictionaries)
 
     # --- metadata -------------------------------------------------------------------------------------
@@ -51,9 +53,11 @@ class Bundle:
         return spark.createDataFrame(one, "generation long, previous_generation long, columns int, row_groups long, rows long, ordering_keys array<string>, schema string")
 
     def row_group_summaries(self, plan: P.ReadPlan | None = None) -> DataFrame:
-        columns = self.columns if plan is None else P.resolve(self.columns, list(plan.columns))
-        wide = self.stats if plan is None else self.stats.where(F.col("row_group_id").isin(*plan.row_groups))
-        return layout.long_statistics(wide, columns)
+        """Statistics in long form; with a plan, of its row groups and columns, in plan order."""
+        if plan is None:
+            return layout.long_statistics(self.stats, self.columns)
+        own = layout.long_statistics(self.stats.where(P.within("row_group_id", P.spans_of(plan.row_groups))), P.resolve(self.columns, list(plan.columns)))
+        return own.join(self._ordinals(plan, plan.row_groups), "row_group_id").orderBy("plan_ordinal", "column_id").drop("plan_ordinal")
 
     def dictionary(self, dictionary_id: int) -> DataFrame:
         found = self.dictionaries.where(F.col("dictionary_id") == dictionary_id) if self.dictionaries is not None else None
@@ -73,6 +77,17 @@ class Bundle:
         """Ids of the row groups that may match."""
         return self.stats.where(P.group_condition(predicates)).select("row_group_id")
 
+    def spans(self, predicates: list[P.Predicate]) -> tuple[list[tuple[int, int]], bool]:
+        """At most P.SPANS ranges of ids that hold all row groups that may match, and whether they hold no others; the driver gets a row for each range."""
+        top = self.stats.agg(F.max("row_group_id")).head()[0] or 0
+        bucket = F.expr(f"row_group_id div {top // P.SPANS + 1}")
+        found = sorted(self.pruned(predicates).groupBy(bucket).agg(F.min("row_group_id"), F.max("row_group_id"), F.count("*")).collect())
+        exact = all(high - low + 1 == n for _, low, high, n in found)
+        joined: list[tuple[int, int]] = []
+        for _, low, high, _ in found:
+            joined[-1:] = [(joined[-1][0], high)] if joined and joined[-1][1] + 1 == low else [*joined[-1:], (low, high)]
+        return joined, exact
+
     def plan(self, names: list[str] | None = None, predicates: list[P.Predicate] = (), options: P.ReadOptions | None = None) -> P.ReadPlan:
         """A stored plan: ids of row groups come to the driver, so many as a snapshot has, not its rows."""
         options = options or P.ReadOptions()
@@ -102,11 +117,19 @@ class Bundle:
     # --- reads ----------------------------------------------------------------------------------------
 
     def read(self, names: list[str] | None = None, predicates: list[P.Predicate] = (), options: P.ReadOptions | None = None) -> DataFrame:
-        """Whole row groups that may match, projected: plan and read in one query, by a semi-join on the statistics."""
+        """Whole row groups that may match, projected.
+
+        Statistics give spans of ids, which the scan is filtered by, so files and Parquet row groups without them are not read. Only where
+        spans hold other row groups as well does a semi-join with the statistics follow.
+        """
         chosen = P.resolve(self.columns, names)
         P.check(self.columns, list(predicates))
         P.report(options or P.ReadOptions(), 0, 0, 0)
-        rows = self.rows.join(self.pruned(list(predicates)), "row_group_id", "left_semi") if predicates else self.rows
+        rows = self.rows
+        if predicates:
+            spans, exact = self.spans(list(predicates))
+            rows = rows.where(P.within("row_group_id", spans))
+            rows = rows if exact else rows.join(self.pruned(list(predicates)), "row_group_id", "left_semi")
         return rows.select(*OWN, *(c.name for c in chosen))
 
     def read_with_report(self, names=None, predicates=(), options=None) -> tuple[DataFrame, DataFrame]:
@@ -125,10 +148,15 @@ class Bundle:
     def read_plan(self, plan: P.ReadPlan, row_groups: list[int] | None = None) -> DataFrame:
         """The plan's row groups, or a subset of them, with the ordinal of each in the plan."""
         chosen = plan.row_groups if row_groups is None else P.subset(plan, row_groups)
+        return self._planned(self.rows, plan, chosen).select("plan_ordinal", *OWN, *plan.columns)
+
+    def _ordinals(self, plan: P.ReadPlan, chosen: tuple[int, ...]) -> DataFrame:
         place = {g: i for i, g in enumerate(plan.row_groups)}
-        spark = self.rows.sparkSession
-        ids = spark.createDataFrame([(g, place[g]) for g in chosen], "row_group_id int, plan_ordinal int")
-        return self.rows.join(ids, "row_group_id").select("plan_ordinal", *OWN, *plan.columns)
+        return self.rows.sparkSession.createDataFrame([(g, place[g]) for g in chosen], "row_group_id int, plan_ordinal int")
+
+    def _planned(self, df: DataFrame, plan: P.ReadPlan, chosen: tuple[int, ...]) -> DataFrame:
+        """Rows of the chosen row groups with their ordinals; the scan is filtered by spans of ids."""
+        return df.where(P.within("row_group_id", P.spans_of(chosen))).join(self._ordinals(plan, chosen), "row_group_id")
 
     def read_row_group(self, row_group_id: int) -> DataFrame:
         found = self.rows.where(F.col("row_group_id") == row_group_id)

@@ -6,7 +6,9 @@ A predicate prunes row groups by their statistics and never filters rows; `exact
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
@@ -108,6 +110,26 @@ def group_condition(predicates: list[Predicate], low: str = "min_{}", high: str
     return keep
 
 
+#: Ranges of row-group ids that a scan is filtered by, at most.
+SPANS = 256
+
+
+def spans_of(ids: Iterable[int], most: int = SPANS) -> list[tuple[int, int]]:
+    """At most so many (low, high) that hold all ids: runs of neighbours, joined over the smallest holes if there are too many."""
+    ordered = sorted(set(ids))
+    holes = sorted(((b - a, i) for i, (a, b) in enumerate(pairwise(ordered)) if b - a > 1), reverse=True)[: most - 1]
+    cuts = [0, *sorted(i + 1 for _, i in holes), len(ordered)]
+    return [(ordered[a], ordered[b - 1]) for a, b in pairwise(cuts)] if ordered else []
+
+
+def within(column: str, spans: list[tuple[int, int]]) -> SparkColumn:
+    """Whether a value lies in one of the spans; the scan gets the comparisons."""
+    inside = F.lit(False)
+    for i, (low, high) in enumerate(spans):
+        inside = F.col(column).between(low, high) if i == 0 else inside | F.col(column).between(low, high)
+    return inside
+
+
 def exact_filter(df: DataFrame, predicates: list[Predicate]) -> DataFrame:
     """Rows within the bounds; Catalyst pushes the comparisons into the scan."""
     for p in predicates:

@@ -18,6 +18,7 @@ from .operators import apps, coords, layout, records, shape, sparse
 from .operators import tensor as X
 from .operators.bundle import Bundle
 from .plans import predicates as P
+from .scratch import scratch
 from .sources import companions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,19 +41,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a folder of this machine only where Spark runs on it alone."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 # --- bundles ----------------------------------------------------------------------------------------------
 
 GROUP = 1024

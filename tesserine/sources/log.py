@@ -103,13 +103,20 @@ class CommitLog:
         return [c for c in map(self.load, self.sequences()) if c]
 
     def head(self) -> Commit:
-        """The valid commit of the highest generation; a generation with conflicting commits is rejected, older ones are used."""
-        by: dict[int, list[Commit]] = {}
-        for c in self.valid():
-            by.setdefault(c["generation"], []).append(c)
-        for generation in sorted(by, reverse=True):
-            if len({checksum(c.body) for c in by[generation]}) == 1:
-                return by[generation][-1]
+        """The valid commit of the highest generation; a generation with conflicting commits is rejected, older ones are used.
+
+        Commits are read from the latest on, and no further than a generation that holds.
+        """
+        same: list[Commit] = []
+        agree = lambda: len({checksum(c.body) for c in same}) == 1
+        for c in filter(None, map(self.load, reversed(self.sequences()))):
+            if same and c["generation"] != same[0]["generation"]:
+                if agree():
+                    return same[0]
+                same = []
+            same.append(c)
+        if same and agree():
+            return same[0]
         raise TableError("corrupt_file", f"no valid commit under {self.root}" if self.sequences() else f"nothing at {self.root}")
 
     def rejected(self) -> list[int]:

@@ -1,6 +1,7 @@
 """Ordered tables: plans, reads, reports and their rejections, on small hand-made tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesserine.errors import TableError, Unimplemented
 from tesserine.functions.types import Column, columns_of, schema_of
@@ -236,3 +237,28 @@ def test_crc32c(spark):
     got = [r[0] for r in df.select(checksums.crc32c("b")).collect()]
     assert got == [*known.values(), None]
     assert [checksums.crc32c_of(k) for k in known] == list(known.values())
+
+
+def test_stored_reads_are_pruned_in_the_scan(spark, tmp_path):
+    df = spark.range(20000).select("id", (F.col("id") % 7).alias("k"))
+    t, _ = TableFile.create(spark, str(tmp_path / "t"), df, columns_of(df.schema), ["id"], group_rows=100)
+    b = t.bundle()
+    found = b.read(["id"], [P.Predicate.between("id", 5050, 5250)])
+    assert sorted(r.id for r in found.collect()) == list(range(5000, 5300))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(row_group_id,50)" in plan and "LessThanOrEqual(row_group_id,52)" in plan and "Join" not in plan
+    assert b.read(["id"], [P.Predicate.between("id", 90000, 90001)]).isEmpty()
+
+
+def test_spans():
+    assert P.spans_of([]) == [] and P.spans_of([3, 1, 2, 9]) == [(1, 3), (9, 9)]
+    assert P.spans_of([1, 3, 50, 52, 900], 2) == [(1, 52), (900, 900)] and P.spans_of([1, 5], 1) == [(1, 5)]
+
+
+def test_spans_hold_all_groups_that_may_match(spark):
+    """More runs than spans: reads are still of whole matching row groups only."""
+    df = spark.range(4000).select("id", F.when(F.expr("id div 2 % 3 = 0"), 1).otherwise(0).alias("k"))
+    b = Bundle.build(df, ["id"], 2)
+    spans, exact = b.spans([P.Predicate.equal("k", 1)])
+    assert len(spans) <= P.SPANS and not exact
+    assert b.read(["id"], [P.Predicate.equal("k", 1)]).count() == df.where("k = 1").count()
