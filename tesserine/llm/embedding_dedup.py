@@ -1,7 +1,7 @@
 """Near-duplicate vectors by cosine within a label, through an inverted multi-index.
 
 Two codebooks are trained, one for each half of the unit vectors, on a bounded sample (`SAMPLE` rows at most,
-the least hashes of vec_id); their product is a grid of cells. Every distinct vector is filed in the cell of its
+the least hashes of vec_id); their product is a grid of cells, about one for each `BLOCK` of different vectors. Every distinct vector is filed in the cell of its
 two nearest codewords. It then visits cells in the order of the multi-sequence traversal, nearest pairs of
 codewords first. A vector in cell (i, j) lies on the codewords' side of the bisecting planes, which bounds its
 distance from below half by half; the visits end where that bound reaches the target recall's. It is a share of
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import components, mapped, stash
 
 THRESHOLD = 0.98
-SAMPLE, CODEWORDS, STEPS = 8192, 16, 12
+SAMPLE, STEPS = 8192, 12
+#: Least and greatest number of codewords of a half; the greatest has 32 rows of the sample each.
+CODEWORDS = (16, 256)
 #: Standard deviations of a difference in one direction that visits allow for.
 DEVIATIONS = 4.0
 BLOCK = 2048
@@ -55,7 +57,12 @@ def _halves(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return unit[:, :cut], unit[:, cut:]
 
 
-def codebook(x: np.ndarray, k: int = CODEWORDS, steps: int = STEPS, seed: int = 7) -> np.ndarray:
+def codewords(rows: int, block: int = BLOCK) -> int:
+    """Codewords of a half for so many vectors: the grid, their square, has about a cell for each block of vectors."""
+    return int(min(max(np.sqrt(rows / block), CODEWORDS[0]), CODEWORDS[1]))
+
+
+def codebook(x: np.ndarray, k: int = CODEWORDS[0], steps: int = STEPS, seed: int = 7) -> np.ndarray:
     """Lloyd's iterations from a seeded choice of rows."""
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[: min(k, len(x))]].copy()
@@ -67,7 +74,7 @@ def codebook(x: np.ndarray, k: int = CODEWORDS, steps: int = STEPS, seed: int =
     return np.unique(centres, axis=0)
 
 
-def train(vectors: DataFrame, sample: int = SAMPLE, k: int = CODEWORDS, threshold: float = THRESHOLD) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+def train(vectors: DataFrame, sample: int = SAMPLE, k: int = CODEWORDS[0], threshold: float = THRESHOLD) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """For each vector length of the sample the codebooks of both halves, and the bound at which visits end."""
     rows = vectors.select("vec_id", "embedding", "label").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     by: dict[int, list] = {}
@@ -250,14 +257,14 @@ def _cogrouped(threshold: float):
     return run
 
 
-def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, k: int = CODEWORDS, block: int = BLOCK) -> DataFrame:
-    """Per vector n_links, component_id and kept."""
+def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, k: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Per vector n_links, component_id and kept; k: codewords of a half, by the number of different vectors if not given."""
     vectors = vectors.select("vec_id", "embedding", "label")
     good = vectors.where(usable() & F.col("vec_id").isNotNull())
-    books = train(good, sample, k, threshold)
     # 0.0 and -0.0 differ as bytes but not as numbers; two such classes still link by cosine.
     named = good.withColumn("same", F.struct("label", "embedding"))
     classes = stash(named.groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).select("vec_id", "n", "same.label", "same.embedding"), "classes")
+    books = train(good, sample, k or codewords(classes.count()), threshold)
     found = stash(links(classes, books, threshold, block), "links")
     groups = components(found.select(F.col("vec_id").alias("a"), F.col("least").alias("b")))
     sums = found.groupBy("vec_id").agg(F.sum("links").alias("links"))

@@ -72,3 +72,23 @@ def test_chains_keep_their_component(spark):
     for block in (E.BLOCK, 6):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.dedup_vectors(df, k=1, block=block).collect()}
         assert got == want
+
+
+def test_recall_of_long_vectors_with_many_codewords(spark):
+    """64 components, where visits end at a bound: links with the least and with more codewords, against brute force."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(150, 64))
+    rows = [(i, (base[i % 150] + rng.normal(size=64) * rng.choice([0.05, 0.1, 0.14])).tolist(), i % 2) for i in range(1200)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for k in (None, 48):
+        got = {r.vec_id: r.n_links for r in E.dedup_vectors(df, k=k, block=64).collect()}
+        found = np.array([got[i] for i in range(len(x))])
+        assert linked.sum() > 1000 and (found <= linked.sum(1)).all() and found.sum() >= 0.99 * linked.sum()
+
+
+def test_codewords_follow_the_rows():
+    assert E.codewords(0) == E.codewords(E.BLOCK * 256) == 16 and E.codewords(E.BLOCK * 10_000) == 100 and E.codewords(10**12) == 256
