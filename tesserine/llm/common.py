@@ -39,15 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stash(df: DataFrame, name: str, sorted_by: tuple[str, ...] = ()) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: its lineage ends here."""
+def stash(df: DataFrame, name: str, sorted_by: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """df written as a Parquet table, in the shared folder if no path is given, and read again: its lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     out = df.sortWithinPartitions(*sorted_by) if sorted_by else df
     out.write.option("compression", "zstd").parquet(path)
-    again = spark.read.schema(df.schema).parquet(path)
-    again._stash_path = path
-    return again
+    return restored(spark, path, df.schema)
+
+
+def restored(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A table that stash wrote, which unstash deletes."""
+    found = spark.read.schema(schema).parquet(path)
+    found._stash_path = path
+    return found
 
 
 def unstash(*frames: DataFrame) -> None:

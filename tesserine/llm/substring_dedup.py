@@ -10,10 +10,11 @@ by fingerprint, of what earlier batches held. Each batch
    only the anchor is shared, the words of one representative per distinct run are fetched and compared window
    by window; under a key with more than `HOT` distinct runs these are cut into single windows, of which equal
    ones (128 bits of hash over all words) are brought to their first document before they meet;
-4. is appended as a new sorted run; when runs number `fan_in`, they are compacted: merged into one that keeps
-   the first document of equal rows.
+4. is appended as a new sorted run of level 0; when a level has `fan_in` runs, they are compacted: merged into one of
+   the next level that keeps the first document of equal rows.
 
-`dedup_words` runs several batches and fetches the words to compare (step 3) for all of them at once.
+`dedup_words` runs several batches and fetches the words to compare (step 3) for all of them at once. With an index under
+a path (`FingerprintIndex.opened`) a later job goes on where an earlier one ended.
 
 Edges: null texts have no words; fewer words than a window removes nothing; a window repeated within one
 document only is kept; rows with one doc_id count as one document, and different texts under one as its parts, which no
@@ -28,14 +29,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.log import CommitLog
 from . import anchors
-from .common import mapped, stash, texts_of, unstash, with_turn
+from .common import mapped, restored, stash, texts_of, unstash, with_turn
 
 WINDOW, GRAM = 50, 16
 BATCHES, FAN_IN = 3, 2
+RUN = "key long, snip long, doc_id long, place long"
 CHUNK = 1 << 21
 #: Distinct runs under one key that are compared in one group.
 HOT = 1000
@@ -186,25 +189,62 @@ def _compared(window: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (key, snip, doc_id, place) of what earlier batches held; compaction keeps the first of equal rows."""
+    """Sorted immutable runs (key, snip, doc_id, place) of what earlier batches held, in levels.
 
-    def __init__(self, fan_in: int = FAN_IN):
-        self.fan_in, self.runs = fan_in, []
-
-    def rows(self) -> DataFrame | None:
-        return reduce(DataFrame.union, self.runs) if self.runs else None
+    A batch is a run of level 0. As soon as a level has `fan_in` runs they are merged into one of the next level, which
+    keeps the first of equal rows, so a row is written again once for each level, not for each batch. With a path the runs stand under
+    it and a commit names them after each change, so a later job goes on with `opened`; without one they last as long as the object.
+    A batch is in the index as soon as its commit stands, whether or not the job that brought it ends well.
+    """
 
-    def append(self, run: DataFrame) -> None:
-        """Take a stashed, sorted table as the next run."""
-        self.runs.append(run)
-        if len(self.runs) >= self.fan_in:
-            self.compact()
+    def __init__(self, fan_in: int = FAN_IN, log: CommitLog | None = None):
+        self.fan_in, self.log = fan_in, log
+        self.runs: list[tuple[int, str | None, DataFrame]] = []  # (level, folder, rows)
+        self.upto: int | None = None
+
+    @classmethod
+    def opened(cls, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, fan_in: int = FAN_IN) -> FingerprintIndex:
+        """The index under a path, a new one if there is none; its windows must be of the same make."""
+        index = cls(fan_in, CommitLog(spark, path))
+        index.make = {"window": window, "gram": gram}
+        if index.log.sequences():
+            head = index.log.head()
+            if head["make"] != index.make:
+                raise ValueError(f"the index under {path} holds windows of {head['make']}")
+            index.upto = head["upto"]
+            index.runs = [(level, folder, restored(spark, index.log.full(folder), RUN)) for level, folder in zip(head["levels"], head["folders"], strict=True)]
+        return index
 
-    def compact(self) -> None:
-        old = self.runs
-        merged = self.rows().groupBy("key", "snip").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-        self.runs = [stash(merged.select("key", "snip", "first.doc_id", "first.place"), "index", ("key", "snip"))]
-        unstash(*old)
+    def rows(self) -> DataFrame | None:
+        return reduce(DataFrame.union, (rows for _, _, rows in self.runs)) if self.runs else None
+
+    def stored(self, run: DataFrame) -> tuple[str | None, DataFrame]:
+        """A run written in order, where the index lives."""
+        folder = self.log.new_folder() if self.log else None
+        return folder, stash(run, "index", ("key", "snip"), self.log.full(folder) if folder else None)
+
+    def append(self, folder: str | None, run: DataFrame, upto: int | None = None) -> None:
+        """Take a stored table as the next run; upto: the greatest doc_id that it covers."""
+        self.runs.append((0, folder, run))
+        self.upto = upto if upto is not None else self.upto
+        merged = self._compact()
+        if self.log:
+            generation = self.log.head()["generation"] + 1 if self.log.sequences() else 1
+            body = {"generation": generation, "levels": [x[0] for x in self.runs], "folders": [x[1] for x in self.runs], "upto": self.upto, "make": self.make}
+            self.log.commit(body)
+        unstash(*merged)  # after the commit that no longer names them
+
+    def _compact(self) -> list[DataFrame]:
+        """Merge full levels, from the lowest on; the runs that are merged now."""
+        gone, level = [], 0
+        while len(own := [x for x in self.runs if x[0] == level]) >= self.fan_in:
+            both = reduce(DataFrame.union, (rows for _, _, rows in own))
+            first = both.groupBy("key", "snip").agg(F.min(F.struct("doc_id", "place")).alias("first"))
+            merged = self.stored(first.select("key", "snip", "first.doc_id", "first.place"))
+            self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, *merged)]
+            gone += [rows for _, _, rows in own]
+            level += 1
+        return gone
 
 
 def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
@@ -213,14 +253,14 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(cuts["c"] or []))
 
 
-def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW, gram: int = GRAM, last: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW, gram: int = GRAM, last: bool = False, hot: int = HOT, upto: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Merge-join a batch with the index: spans (doc_id, begin, end) of copied runs, and runs (key, doc_id, place, fresh, hot) to compare.
 
     Runs that share a key only are compared by `verified`. The batch joins the index. last: nothing follows, so
-    the index is left as it is.
+    the index is left as it is. upto: the greatest doc_id of the batch.
     """
-    every = mapped(batch.select("doc_id", "text", "turn"), _found(window, gram), "key long, snip long, doc_id long, place long").where("doc_id is not null")
-    every = stash(every, "index", ("key", "snip"))
+    every = mapped(batch.select("doc_id", "text", "turn"), _found(window, gram), RUN).where("doc_id is not null")
+    folder, every = index.stored(every)
     history = index.rows()
     # Keys that occur once, in the batch and in the index together, have nothing to say.
     keys = every.select("key", F.lit(True).alias("fresh"))
@@ -254,7 +294,7 @@ def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW,
     if last:
         unstash(every)
     else:
-        index.append(every)
+        index.append(folder, every, upto)
     return whole, wanted
 
 
@@ -296,22 +336,37 @@ def _kept(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     )
 
 
-def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, fan_in: int = FAN_IN, hot: int = HOT) -> DataFrame:
-    """Per document what the removal of word windows that smaller doc_ids hold leaves: n_words, n_removed, kept_sha256."""
+def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, fan_in: int = FAN_IN, hot: int = HOT, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+    """Per document what the removal of word windows that smaller doc_ids hold leaves: n_words, n_removed, kept_sha256.
+
+    index, history: an index that stays and the documents (doc_id, text) that it covers; docs come after them, are compared with
+    them as well and are in the index afterwards. Of history only the texts of runs in question are read on.
+    """
     docs = with_turn(docs.select("doc_id", "text"))
-    index, whole, wanted, below = FingerprintIndex(fan_in), [], [], None
+    stays = index is not None
+    index, whole, wanted, below, top = index or FingerprintIndex(fan_in), [], [], None, None
+    if stays:
+        least, top = docs.agg(F.min("doc_id"), F.max("doc_id")).head()
+        if index.upto is not None and least is not None and least <= index.upto:
+            raise ValueError(f"doc_id {least} does not follow the index, which covers {index.upto}")
+        if index.runs and history is None:
+            raise ValueError("the texts that the index covers are needed to verify what it finds")
     for number, upper in enumerate([*batch_bounds(docs, batches), None]):
         batch = docs
         if below is not None:
             batch = batch.where(F.col("doc_id") > below)
         if upper is not None:
             batch = batch.where(F.col("doc_id") <= upper)
-        spans, runs = candidates(batch, index, window, gram, last=upper is None, hot=hot)
+        spans, runs = candidates(batch, index, window, gram, last=upper is None and not stays, hot=hot, upto=top if upper is None else upper)
         whole.append(spans)
         wanted.append(runs.withColumn("key", F.xxhash64("key", F.lit(number))))
         below = upper
+    wanted, texts = reduce(DataFrame.union, wanted), docs
+    if history is not None:
+        asked = history.select("doc_id", "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+        texts = docs.union(with_turn(asked))
     # The texts move once, for the comparison of all batches and for the removal.
-    spans = reduce(DataFrame.union, whole).union(verified(docs, reduce(DataFrame.union, wanted), window))
+    spans = reduce(DataFrame.union, whole).union(verified(texts, wanted, window))
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = docs.join(lists.hint("merge"), "doc_id", "left").select("doc_id", "text", "turn", "spans")
     return mapped(joined, _kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -151,3 +151,23 @@ def test_maximal_repeats_with_all_occurrences():
     before = np.where(suffixes > 0, data[np.maximum(suffixes - 1, 0)].astype(int), -1)
     found = {(n, tuple(sorted(m.tolist()))) for n, m in suffix_dedup.maximal_repeats(data, suffixes, len(text) - suffixes, before, 4)}
     assert found == {(8, (1, 11, 21)), (9, (1, 21))}
+
+
+def test_a_later_job_goes_on_with_the_index(spark, tmp_path):
+    """Jobs of rising doc_ids that share nothing but the index's path give the rows of one job; levels are merged on the way."""
+    df, path = frame(spark), str(tmp_path / "index")
+    want = sorted(tuple(r) for r in substring_dedup.dedup_words(df.where("doc_id is not null")).collect())
+    ids = sorted({r.doc_id for r in df.collect()} - {None})
+    cuts = [ids[0], *(ids[len(ids) * i // 3] for i in (1, 2)), ids[-1] + 1]
+    got, levels = [], []
+    for low, high in zip(cuts, cuts[1:]):
+        index = substring_dedup.FingerprintIndex.opened(spark, path)
+        now = df.where(f"doc_id >= {low} and doc_id < {high}")
+        got += substring_dedup.dedup_words(now, batches=1, index=index, history=df.where(f"doc_id < {low}")).collect()
+        levels.append([x[0] for x in index.runs])
+    assert sorted(tuple(r) for r in got) == want and levels == [[0], [1], [1, 0]]
+    assert any(r[2] for r in want)
+    with pytest.raises(ValueError, match="does not follow"):
+        substring_dedup.dedup_words(df.where(f"doc_id = {ids[0]}"), index=substring_dedup.FingerprintIndex.opened(spark, path), history=df)
+    with pytest.raises(ValueError, match="holds windows of"):
+        substring_dedup.FingerprintIndex.opened(spark, path, window=20)
