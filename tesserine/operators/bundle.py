@@ -16,6 +16,7 @@ from ..functions.types import Column, columns_of
 from ..plans import predicates as P
 from ..scratch import stored
 from . import layout
+from .records import Projection, project
 
 OWN = ["row_group_id", "base_row", "row_in_group"]
 
@@ -182,13 +183,30 @@ class Bundle:
 
     def visit(self, visitor: Callable[[int, list], bool | None], plan: P.ReadPlan, row_groups: list[int] | None = None) -> bool:
         """Call visitor(row_group_id, rows) in plan order, one row group in memory at a time; False stops. Returns whether all were visited."""
-        # One ordered read for all row groups; partitions come to the driver one after the other.
-        ordered = self.read_plan(plan, row_groups).orderBy("plan_ordinal", "row_in_group").select("row_group_id", *(F.col(c).alias(f"_{i}") for i, c in enumerate(plan.columns)))
-        make = Row(*plan.columns)
-        for g, rows in groupby(ordered.toLocalIterator(), key=lambda r: r[0]):
-            if visitor(g, [make(*r[1:]) for r in rows]) is False:
-                return False
-        return True
+        return _visited(self.read_plan(plan, row_groups), list(plan.columns), visitor)
+
+    def project_plan(self, plan: P.ReadPlan, p: Projection, row_groups: list[int] | None = None) -> DataFrame:
+        """The fields of the plan's packed records, with the place of each row; only the column of records is read."""
+        P.resolve(self.columns, [p.column])
+        if p.column not in plan.columns:
+            raise invalid(f"the plan does not read {p.column}")
+        chosen = plan.row_groups if row_groups is None else P.subset(plan, row_groups)
+        return project(self._planned(self.rows, plan, chosen), p, ("plan_ordinal", *OWN))
+
+    def visit_projected(self, visitor: Callable[[int, list], bool | None], plan: P.ReadPlan, p: Projection, row_groups: list[int] | None = None) -> tuple[bool, dict]:
+        """visit over projected records; also what was visited: row groups, rows, bytes of records, nanoseconds until the plan stood and in all."""
+        start, seen = time.perf_counter_ns(), {"row_groups": 0, "rows": 0, "record_bytes": 0}
+        rows = self.project_plan(plan, p, row_groups)
+        seen["plan_ns"] = time.perf_counter_ns() - start
+
+        def count(g: int, found: list) -> bool | None:
+            seen["row_groups"] += 1
+            seen["rows"] += len(found)
+            seen["record_bytes"] += len(found) * p.width
+            return visitor(g, found)
+
+        whole = _visited(rows, [f.name for f in p.fields], count)
+        return whole, seen | {"total_ns": time.perf_counter_ns() - start}
 
     def visit_into(self, buffers: dict[str, list], visitor: Callable[[int, dict[str, list]], bool | None], plan: P.ReadPlan, row_groups: list[int] | None = None) -> bool:
         """visit with the caller's lists, one a column, refilled for each row group."""
@@ -228,6 +246,18 @@ class Bundle:
         return ReadSession(self, plan)
 
 
+def _batches(rows: DataFrame, columns: list[str]) -> Iterator[tuple[int, list]]:
+    """Row groups in plan order, by one ordered read; partitions come to the driver one after the other."""
+    ordered = rows.orderBy("plan_ordinal", "row_in_group").select("row_group_id", *(F.col(c).alias(f"_{i}") for i, c in enumerate(columns)))
+    make = Row(*columns)
+    for g, found in groupby(ordered.toLocalIterator(), key=lambda r: r[0]):
+        yield g, [make(*r[1:]) for r in found]
+
+
+def _visited(rows: DataFrame, columns: list[str], visitor: Callable[[int, list], bool | None]) -> bool:
+    return all(visitor(g, found) is not False for g, found in _batches(rows, columns))
+
+
 REPORT = "requested_read_threads int, effective_read_threads int, selected_row_groups int, pruned_row_groups int, selected_chunks int, fallback_reason string"
 
 
@@ -235,19 +265,19 @@ class ReadSession:
     """A poll interface: next() gives ('batch', row_group_id, rows), ('end',) or ('cancelled',)."""
 
     def __init__(self, bundle: Bundle, plan: P.ReadPlan):
-        self.bundle, self.plan, self.at, self.cancelled = bundle, plan, 0, False
+        self.plan, self.cancelled = plan, False
+        self.batches = _batches(bundle.read_plan(plan), list(plan.columns))
 
     def next(self) -> tuple:
         if self.cancelled:
             return ("cancelled",)
-        if self.at == len(self.plan.row_groups):
-            return ("end",)
-        g = self.plan.row_groups[self.at]
-        self.at += 1
-        return ("batch", g, self.bundle.read_row_group(g).orderBy("row_in_group").select(*self.plan.columns).collect())
+        found = next(self.batches, None)
+        return ("end",) if found is None else ("batch", *found)
 
     def cancel(self) -> None:
+        """Nothing is read from here on."""
         self.cancelled = True
+        self.batches.close()
 
     def report(self) -> P.ReadReport:
         return self.plan.report

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..errors import TableError, invalid
 from ..functions import packed
+from ..functions.types import Column as TypedColumn
 from ..functions.binary import SPARK_TYPES, WIDTHS, write_le
 
 #: The layout of the 168-byte order and trade records.
@@ -35,6 +36,12 @@ LANES: list[packed.Lane] = [
 BLANK = (MAGIC + SCHEMA.to_bytes(2, "little") + HEADER.to_bytes(2, "little") + WIDTH.to_bytes(2, "little")).ljust(WIDTH, b"\0")
 
 
+def lane_columns() -> list[TypedColumn]:
+    """The lanes as columns of an ordered table."""
+    fixed = lambda kind: kind if isinstance(kind, int) else None
+    return [TypedColumn(name, "fixed_binary" if fixed(kind) else {"int": "i32", "bigint": "i64"}[t.simpleString()], width=fixed(kind), nullable=False) for name, _, kind, t in LANES]
+
+
 def word_column(offset: int) -> str:
     if offset not in WORDS:
         raise invalid(f"no body word at offset {offset}")

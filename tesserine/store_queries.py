@@ -8,11 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.types import columns_of
-from .operators import coords
+from .functions import binary
+from .functions.types import Column, columns_of
+from .operators import coords, records
 from .operators import tensor as X
+from .operators.bundle import Bundle
 from .plans import predicates as P
-from .queries import GROUP, ORDERS, ORDERS_STATS, cells, orders_bundle, query, scratch, table
+from .queries import GROUP, ORDERS, ORDERS_STATS, _lanes, cells, orders_bundle, query, scratch, table
+from .sources import channels
 from .sources.catalog import TableFile, files_manifest, validate_files
 from .sources.tensor_store import TensorStore
 
@@ -321,3 +324,76 @@ def row_group_into_buffers(spark, d):
 def bundle_metadata(spark, d):
     m = orders_bundle(spark, d).metadata()
     return m.select(F.col("rows").alias("n_rows"), F.col("row_groups"), F.col("columns").cast("bigint").alias("n_columns"), F.array_join("ordering_keys", ",").alias("keys"))
+
+
+MATCHING = f"{ORDERS_STATS}, m as (select * from r where g in (select g from s where clo <= 60 and chi >= 40))"
+
+
+@query(f"with {MATCHING} select g::int as row_group_id, sum(o_orderkey)::bigint as key_sum, round(max(o_totalprice), 4) as top from m group by g")
+def plan_visit_into_buffers(spark, d):
+    b, plan = _planned(spark, d)
+    seen = []
+    b.visit_into({"o_orderkey": [], "o_totalprice": []}, lambda g, buffers: seen.append((g, sum(buffers["o_orderkey"]), round(max(buffers["o_totalprice"]), 4))), plan)
+    return spark.createDataFrame(seen, "row_group_id int, key_sum long, top double")
+
+
+@query(f"with {MATCHING} select g::int as row_group_id, count(*) as n from m group by g")
+def plan_session(spark, d):
+    """A session polled to its end."""
+    b, plan = _planned(spark, d)
+    return spark.createDataFrame([(g, len(rows)) for _, g, rows in b.session(plan)], "row_group_id int, n long")
+
+
+@query(f"with {MATCHING}, x as (select g, unnest(['o_orderkey', 'o_totalprice']) as column_name, min(o_orderkey) as lo, max(o_orderkey) as hi, min(o_totalprice) as plo, max(o_totalprice) as phi, count(*) as n from m group by g) select g::int as row_group_id, n as n_rows, column_name, case column_name when 'o_orderkey' then lo else plo end as least, case column_name when 'o_orderkey' then hi else phi end as most from x")
+def plan_summaries(spark, d):
+    b, plan = _planned(spark, d)
+    return b.row_group_summaries(plan).select("row_group_id", F.col("rows").alias("n_rows"), "column_name", F.col("min_double").alias("least"), F.col("max_double").alias("most"))
+
+
+@query(f"with {MATCHING} select g::int as row_group_id, count(*) as n, sum(o_orderkey)::bigint as key_sum, sum(o_custkey)::bigint as customer_sum from m group by g")
+def plan_visit_projected(spark, d):
+    """Fields of packed records, visited by row group."""
+    df = table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"))
+    df = df.withColumn("packed", F.concat(binary.write_le(F.col("o_orderkey"), "i64"), binary.write_le(F.col("o_custkey"), "u32")))
+    b = Bundle.build(df, ["o_orderkey"], GROUP, [Column("o_orderkey", "i64"), Column("o_custkey", "i64"), Column("packed", "fixed_binary", width=12)])
+    plan = b.plan(["packed"], [P.Predicate.between("o_custkey", 40, 60)])
+    fields = records.Projection("packed", 12, (records.Field("key", 0, "i64"), records.Field("customer", 8, "u32")))
+    seen = []
+    b.visit_projected(lambda g, rows: seen.append((g, len(rows), sum(r.key for r in rows), sum(r.customer for r in rows))), plan, fields)
+    return spark.createDataFrame(seen, "row_group_id int, n long, key_sum long, customer_sum long")
+
+
+# --- lanes of channels ------------------------------------------------------------------------------------------------
+
+LANE_GROUPS = f"r as (select o_orderkey + 1 as b, (row_number() over (order by o_orderkey) - 1) // {GROUP} as g from orders)"
+
+
+@query(f"with {LANE_GROUPS} select g::int as row_group_id, count(*) + case when g = 1 then 1 else 0 end as n_rows, case when g = 1 then 'row_count_mismatch' when count(*) filter (where b % 5000 = 0) > 0 then 'payload_header_mismatch' end as issue from r group by g")
+def lanes_certify_summaries(spark, d):
+    """Nulls in some row groups, and statistics of one that count a row too many."""
+    lanes = _lanes(spark, d).withColumn("receive_nano", F.when(F.col("biz_index") % 5000 != 0, F.col("receive_nano")))
+    b = Bundle.build(lanes, ["biz_index"], GROUP, records.lane_columns())
+    b.stats = b.stats.withColumn("rows", F.col("rows") + F.when(F.col("row_group_id") == 1, 1).otherwise(0))
+    return channels.certify_summaries(b).select("row_group_id", F.col("rows").alias("n_rows"), "issue")
+
+
+@query(f"with {LANE_GROUPS}, x as (select g, count(*) as n, sum(b) as total, count(*) filter (where b % 5000 = 0) as bad from r group by g) select g::int as plan_ordinal, case when bad = 0 then n end as n_rows, case when bad = 0 then total end::bigint as index_sum, bad > 0 as foreign_rows from x")
+def lanes_prepare_channel(spark, d):
+    """All orders as channel 3; row groups with a row of channel 4 are refused."""
+    lanes = _lanes(spark, d).withColumn("channel_id", F.when(F.col("biz_index") % 5000 == 0, 4).otherwise(3).cast("bigint"))
+    b = Bundle.build(lanes, ["biz_index"], GROUP, records.lane_columns())
+
+    def work(t):
+        import pyarrow.compute as pc
+
+        return f"{t.num_rows},{pc.sum(t['biz_index']).as_py()}".encode()
+
+    out = channels.prepare_channel(b, 3, work, expected_rows=b.row_count()).withColumn("t", F.split(F.col("payload").cast("string"), ","))
+    return out.select("plan_ordinal", F.col("t")[0].cast("bigint").alias("n_rows"), F.col("t")[1].cast("bigint").alias("index_sum"), F.coalesce(F.col("error").contains("channel_id_mismatch"), F.lit(False)).alias("foreign_rows"))
+
+
+@query("with c as (select (o_custkey % 8 + 1)::bigint as channel_id, o_orderkey + 1 as b, o_orderkey % 2 as k, lag(o_orderkey) over (partition by o_custkey % 8 order by o_orderkey) + 1 as p from orders) select channel_id, count(*) as row_count, min(b) as first_biz_index, max(b) as last_biz_index, count(*) filter (where k = 0) as order_records, count(*) filter (where k = 1) as trade_records, case when channel_id = 5 then 'payload_header_mismatch' when count(*) filter (where b > p + 1) > 0 then 'biz_index_gap' end as issue from c group by channel_id")
+def lanes_certify_channels(spark, d):
+    """Continuity, counts and rebuilt headers of all channels; channel 5 has no trading day."""
+    lanes = _lanes(spark, d).withColumn("day_key", F.when(F.col("channel_id") == 5, 0).otherwise(F.col("day_key")))
+    return channels.certify_lanes(lanes, order=("biz_index",))
