@@ -11,26 +11,33 @@ from ..functions.types import Column, columns_of
 GROUP_ROWS = 65_536
 
 
-def range_bounds(df: DataFrame, key: str, parts: int) -> list:
-    """At most parts - 1 ascending values of a column that cut it into about equal ranges, from a bounded sample of 64 values a range."""
+def range_bounds(df: DataFrame, keys: list[str], parts: int) -> list[tuple]:
+    """At most parts - 1 ascending key tuples that cut the rows into about equal ranges, from a bounded sample of 64 tuples a range.
+
+    Bounds are of all keys, so rows that agree in the first ones, as a day's do, are cut as well.
+    """
     if parts < 2:
         return []
-    values = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(64 * parts).collect()
-    values = sorted(r[0] for r in values)
-    return sorted({values[len(values) * i // parts] for i in range(1, parts)}) if values else []
+    key = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
+    sample = df.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(64 * parts)
+    values = [tuple(r["key"]) for r in sample.orderBy("key").collect()]
+    return list(dict.fromkeys(values[len(values) * i // parts] for i in range(1, parts))) if values else []
 
 
 def with_row_number(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """df with row_number, its place from 0 in the total order of keys.
 
-    Rows are dealt to ranges of the first key; each range numbers its own rows and starts after the rows of the
+    Rows are dealt to ranges of the whole key; each range numbers its own rows and starts after the rows of the
     ranges before it, so no task sees all rows. The keys must order the rows totally for the numbers to be unique.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(df, keys[0], parts)
+    bounds = range_bounds(df, keys, parts)
     part = F.lit(0)
     if bounds:
-        part = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(keys[0]))), F.lit(0))
+        as_key = lambda values: F.struct(*(v.alias(f"k{i}") for i, v in enumerate(values)))
+        cuts = F.array(*(as_key([F.lit(v).cast(df.schema[k].dataType) for v, k in zip(b, keys, strict=True)]) for b in bounds))
+        own = as_key([F.col(k) for k in keys])
+        part = F.array_size(F.filter(cuts, lambda b: b < own))  # nulls come first, in structs as in the order below
     dealt = df.withColumn("_part", part)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -262,3 +262,15 @@ def test_spans_hold_all_groups_that_may_match(spark):
     spans, exact = b.spans([P.Predicate.equal("k", 1)])
     assert len(spans) <= P.SPANS and not exact
     assert b.read(["id"], [P.Predicate.equal("k", 1)]).count() == df.where("k = 1").count()
+
+
+def test_row_numbers_within_one_first_key(spark):
+    """Rows of a single day, with nulls and repeated values, are cut into several ranges and numbered in order."""
+    rows = [(20260702, None if i % 10 == 0 else (i * 7919) % 300, float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "day int, a int, b double")
+    bounds = layout.range_bounds(df, ["day", "a", "b"], 6)
+    assert len(bounds) == 5
+    got = [tuple(r)[:3] for r in layout.with_row_number(df, ["day", "a", "b"], 6).orderBy("row_number").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2]))
+    numbers = [r.row_number for r in layout.with_row_number(df, ["day", "a", "b"], 6).collect()]
+    assert sorted(numbers) == list(range(1000))
