@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..errors import TableError
 from ..functions.types import Column, columns_of
@@ -19,8 +20,9 @@ def range_bounds(df: DataFrame, keys: list[str], parts: int) -> list[tuple]:
     if parts < 2:
         return []
     key = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
-    sample = df.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(64 * parts)
-    values = [tuple(r["key"]) for r in sample.orderBy("key").collect()]
+    sample = df.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(64 * parts).collect()
+    place = lambda v: (v is not None, v != v, 0 if v is None or v != v else v)  # noqa: E731  nulls first, NaN last, as Spark orders them
+    values = sorted((tuple(r["key"]) for r in sample), key=lambda key: tuple(map(place, key)))
     return list(dict.fromkeys(values[len(values) * i // parts] for i in range(1, parts))) if values else []
 
 
@@ -34,10 +36,17 @@ def with_row_number(df: DataFrame, keys: list[str], parts: int | None = None) ->
     bounds = range_bounds(df, keys, parts)
     part = F.lit(0)
     if bounds:
+        first, kind = F.col(keys[0]), df.schema[keys[0]].dataType
         as_key = lambda values: F.struct(*(v.alias(f"k{i}") for i, v in enumerate(values)))
-        cuts = F.array(*(as_key([F.lit(v).cast(df.schema[k].dataType) for v, k in zip(b, keys, strict=True)]) for b in bounds))
-        own = as_key([F.col(k) for k in keys])
-        part = F.array_size(F.filter(cuts, lambda b: b < own))  # nulls come first, in structs as in the order below
+        typed = lambda b: [F.lit(v).cast(df.schema[k].dataType) for v, k in zip(b, keys, strict=True)]
+        heads = F.array(*(F.lit(b[0]).cast(kind) for b in bounds if b[0] is not None)).cast(ArrayType(kind))
+        missing = sum(b[0] is None for b in bounds)  # nulls come first, in structs as in the order below
+        below = F.when(first.isNull(), 0).otherwise(F.array_size(F.filter(heads, lambda b: b < first)) + missing)
+        # Only rows that agree with a bound in the first key are held against whole bounds.
+        own, shared = as_key([F.col(k) for k in keys]), first.isNull() if missing else F.lit(False)
+        cuts = F.array(*(as_key(typed(b)) for b in bounds))
+        level = F.array_size(F.filter(cuts, lambda b: b["k0"].eqNullSafe(first) & (b < own)))
+        part = below + F.when(shared | F.coalesce(F.array_contains(heads, first), F.lit(False)), level).otherwise(0)
     dealt = df.withColumn("_part", part)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -274,3 +274,5 @@ def test_row_numbers_within_one_first_key(spark):
     assert got == sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2]))
     numbers = [r.row_number for r in layout.with_row_number(df, ["day", "a", "b"], 6).collect()]
     assert sorted(numbers) == list(range(1000))
+    empty = spark.createDataFrame([(None, i) for i in range(50)], "a int, b int")
+    assert [r.b for r in layout.with_row_number(empty, ["a", "b"], 4).orderBy("row_number").collect()] == list(range(50))
