@@ -8,8 +8,8 @@ by fingerprint, of what earlier batches held. Each batch
 2. merge-joins them with every run of the index and with itself;
 3. verifies: rows whose whole run of windows is equal (128 bits of hash over all its words) are copies; where
    only the anchor is shared, the words of one representative per distinct run are fetched and compared window
-   by window; under a key with more than `HOT` distinct runs these are cut into single windows, of which equal
-   ones (128 bits of hash over all words) are brought to their first document before they meet;
+   by window; under a key with more than `HOT` distinct runs these are cut into single windows, each once for
+   all batches, of which equal ones (128 bits of hash over all words) are brought to their first document before they meet;
 4. is appended as a new sorted run of level 0; when a level has `fan_in` runs, they are compacted: merged into one of
    the next level that keeps the first document of equal rows.
 
@@ -90,15 +90,15 @@ def _found(window: int, gram: int):
     return find
 
 
-def _wanted(batch: pa.RecordBatch, window: int, hot: bool):
-    """The batch's words (raw, begin, end) and its wanted runs, those of hot keys or the others: row, first word, windows, (key, place, fresh)."""
+def _wanted(batch: pa.RecordBatch, window: int):
+    """The batch's words (raw, begin, end) and its wanted runs: row, first word, windows, (key, place, fresh)."""
     data, offsets = texts_of(batch.column("text"))
     begin, end, words = word_places(data, offsets)
     wanted = batch.column("wanted")
     flat = wanted.flatten()
     row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(wanted).to_numpy())
     turn = flat.field("place").to_numpy() >> (TURN + 8)
-    mine = np.flatnonzero((flat.field("hot").to_numpy(zero_copy_only=False) == hot) & (turn == batch.column("turn").to_numpy()[row]))
+    mine = np.flatnonzero(turn == batch.column("turn").to_numpy()[row])
     key, place, fresh = (flat.field(c).take(pa.array(mine)) for c in ("key", "place", "fresh"))
     row = row[mine]
     start, count = np.divmod(place.to_numpy(), 256)
@@ -108,7 +108,7 @@ def _wanted(batch: pa.RecordBatch, window: int, hot: bool):
 
 def _snippets(window: int):
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        (raw, begin, end), row, first, count, (key, place, fresh) = _wanted(batch, window, False)
+        (raw, begin, end), row, first, count, (key, place, fresh) = _wanted(batch, window)
         a, b = begin[first], end[first + count + window - 2]
         pieces = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         for i in range(0, len(pieces), 2048):
@@ -124,7 +124,7 @@ def _windows(window: int):
     """Runs of hot keys as single windows: two halves of a hash of key and words, doc_id, begin, fresh."""
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        (raw, begin, end), row, first, count, (key, place, fresh) = _wanted(batch, window, True)
+        (raw, begin, end), row, first, count, (key, place, fresh) = _wanted(batch, window)
         keys = key.to_numpy()
         for i in range(0, len(row), 2048):
             digests = []
@@ -299,15 +299,27 @@ def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW,
 
 
 def verified(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Spans (doc_id, begin, end) of fresh runs' windows that an earlier document's run under the same key holds word by word."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "fresh", "hot")).alias("wanted"))
-    held = docs.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "turn", "wanted")
-    texts = mapped(held, _snippets(window), "key long, doc_id long, place long, fresh boolean, bytes binary")
+    """Spans (doc_id, begin, end) of fresh runs' windows that an earlier document's run under the same key holds word by word.
+
+    Runs that several batches want are fetched once, and a key that is hot in one batch is hot for all.
+    """
+
+    def held(runs: DataFrame, *hints: str) -> DataFrame:
+        lists = runs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "fresh")).alias("wanted"))
+        lists = lists.hint(*hints) if hints else stash(lists, "lists")
+        return docs.join(lists, "doc_id").select("doc_id", "text", "turn", "wanted")
+
+    once = wanted.groupBy("key", "doc_id", "place").agg(F.max("fresh").alias("fresh"))
+    hot = None
+    if not wanted.where("hot").isEmpty():
+        hot = F.broadcast(wanted.where("hot").select("key").distinct())  # of many runs each
+    texts = mapped(held(once if hot is None else once.join(hot, "key", "left_anti"), "merge"), _snippets(window), "key long, doc_id long, place long, fresh boolean, bytes binary")
     within = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(window), "doc_id long, begin long, end long")
-    if wanted.where("hot").isEmpty():
+    if hot is None:
         return within
-    # Equal windows of hot keys are counted together before they meet, whatever number of runs holds them.
-    cut = mapped(held, _windows(window), "high long, low long, doc_id long, begin long, fresh boolean")
+    # Equal windows of hot keys are counted together before they meet, whatever number of runs holds them. They are written,
+    # since both sides of the join would cut them again; few lists are broadcast, so that no text moves for them.
+    cut = stash(mapped(held(once.join(hot, "key", "left_semi")), _windows(window), "high long, low long, doc_id long, begin long, fresh boolean"), "windows")
     first = cut.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max(F.when(F.col("fresh"), F.col("doc_id"))).alias("most")).where("most > first")
     alone = cut.where("fresh").join(first.hint("merge"), ["high", "low"]).where("doc_id > first")
     return within.union(alone.select("doc_id", "begin", (F.col("begin") + window).alias("end")))
@@ -351,7 +363,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches
             raise ValueError(f"doc_id {least} does not follow the index, which covers {index.upto}")
         if index.runs and history is None:
             raise ValueError("the texts that the index covers are needed to verify what it finds")
-    for number, upper in enumerate([*batch_bounds(docs, batches), None]):
+    for upper in [*batch_bounds(docs, batches), None]:
         batch = docs
         if below is not None:
             batch = batch.where(F.col("doc_id") > below)
@@ -359,7 +371,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches
             batch = batch.where(F.col("doc_id") <= upper)
         spans, runs = candidates(batch, index, window, gram, last=upper is None and not stays, hot=hot, upto=top if upper is None else upper)
         whole.append(spans)
-        wanted.append(runs.withColumn("key", F.xxhash64("key", F.lit(number))))
+        wanted.append(runs)
         below = upper
     wanted, texts = reduce(DataFrame.union, wanted), docs
     if history is not None:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -88,6 +89,36 @@ def test_words_of_hot_keys_match_plain(spark, monkeypatch, batches):
     assert got == plain_words([(x.doc_id, x.text) for x in df.collect()])
 
 
+def test_words_of_hot_keys_are_cut_once(spark, monkeypatch, tmp_path):
+    """A window of a hot key is one row, whatever the number of batches that look at it; a key that is hot in one is hot in all."""
+    r = random.Random(8)
+    some = lambda k: [f"w{r.randrange(10_000)}" for _ in range(k)]
+    passage = some(70)
+
+    def changed(i):
+        out = list(passage)
+        out[i % 70] = f"x{i}"
+        return " ".join([*some(5), *out, *some(5), *(out[:60] if i % 7 == 0 else ())])
+
+    df = frame(spark, [changed(i) for i in range(90)])
+    whole = substring_dedup._windows
+
+    def counted(window):
+        def cut(batch):
+            for number, out in enumerate(whole(window)(batch)):
+                rows = np.stack([out.column(c).to_numpy() for c in ("high", "low", "doc_id", "begin")])
+                np.save(tmp_path / f"{uuid.uuid4().hex}-{number}.npy", rows)
+                yield out
+
+        return cut
+
+    monkeypatch.setattr(substring_dedup, "_windows", counted)
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup_words(df, batches=3, hot=40).collect()}
+    assert got == plain_words([(x.doc_id, x.text) for x in df.collect()])
+    rows = np.concatenate([np.load(f) for f in tmp_path.glob("*.npy")], axis=1)
+    assert rows.shape[1] > 1000 and np.unique(rows, axis=1).shape[1] == rows.shape[1]
+
+
 @pytest.mark.parametrize("frequent", [0, 2, 8])
 def test_bytes_of_frequent_keys_match_plain(spark, frequent):
     r = random.Random(9)
