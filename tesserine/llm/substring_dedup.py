@@ -8,8 +8,9 @@ by fingerprint, of what earlier batches held. Each batch
 2. merge-joins them with every run of the index and with itself;
 3. verifies: rows whose whole run of windows is equal (128 bits of hash over all its words) are copies; where
    only the anchor is shared, the words of one representative per distinct run are fetched and compared window
-   by window; under a key with more than `HOT` distinct runs these are cut into single windows, each once for
-   all batches, of which equal ones (128 bits of hash over all words) are brought to their first document before they meet;
+   by window; under a key with more than `HOT` distinct runs these are cut, once for all batches, into shorter runs
+   by longer anchors and settled in the same way; where that leaves hot keys, runs are cut into single windows, of which
+   equal ones (128 bits of hash over all words) are brought to their first document before they meet;
 4. is appended as a new sorted run of level 0; when a level has `fan_in` runs, they are compacted: merged into one of
    the next level that keeps the first document of equal rows.
 
@@ -42,6 +43,8 @@ RUN = "key long, snip long, doc_id long, place long"
 CHUNK = 1 << 21
 #: Distinct runs under one key that are compared in one group.
 HOT = 1000
+#: Runs of hot keys are grouped again by anchors so many words shorter than a window.
+FINE = 10
 #: A text's turn under its doc_id stands above its places.
 TURN = 40
 _SPACE = np.zeros(256, bool)
@@ -120,6 +123,26 @@ def _snippets(window: int):
     return cut
 
 
+def _pieces(window: int, gram: int):
+    """Runs of hot keys as shorter runs, about one for (window - gram) / 2 windows: key, snip, doc_id, place, fresh."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        (raw, begin, end), row, first, count, (_, place, fresh) = _wanted(batch, window)
+        symbols, start = word_hashes(np.frombuffer(raw, np.uint8), begin, end), place.to_numpy() // 256
+        for i in range(0, len(row), 2048):
+            n = count[i : i + 2048] + window - 1
+            offsets = np.concatenate(([0], np.cumsum(n)))
+            at = np.arange(offsets[-1]) + np.repeat(first[i : i + 2048] - offsets[:-1], n)
+            for which, step, windows, key, snip in anchors.runs(symbols[at], offsets, window, gram):
+                which = which + i
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(snip), batch.column("doc_id").take(pa.array(row[which])), pa.array((start[which] + step) * 256 + windows), fresh.take(pa.array(which))],
+                    ["key", "snip", "doc_id", "place", "fresh"],
+                )
+
+    return cut
+
+
 def _windows(window: int):
     """Runs of hot keys as single windows: two halves of a hash of key and words, doc_id, begin, fresh."""
 
@@ -253,6 +276,25 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(cuts["c"] or []))
 
 
+def _settled(found: DataFrame, classes: DataFrame, window: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Spans (doc_id, begin, end) of found runs that are copied whole, and runs (key, doc_id, place, fresh, hot) to compare.
+
+    classes: a row for each distinct run (key, snip), with its first place, whether it is among found, and the last document there.
+    """
+    per_key = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.max("fresh").alias("any_fresh"))
+    copied = classes.where("most > first.doc_id").select("key", "snip", F.col("first.doc_id").alias("holder"))
+    whole = (
+        found.join(copied.hint("merge"), ["key", "snip"]).where("doc_id > holder")
+        .select("doc_id", F.expr("place div 256").alias("begin"), F.expr(f"place div 256 + place % 256 + {window - 1}").alias("end"))
+    )
+    whole = stash(whole, "spans")
+    several = per_key.where("kinds > 1 and any_fresh").select("key", (F.col("kinds") > hot).alias("hot"))
+    named = classes.join(several.hint("merge"), "key").select("key", "snip", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), F.col("first.fresh").alias("fresh"), "hot")
+    # A run that its first document holds twice is looked at in both places.
+    again = found.join(named.where("fresh").select("key", "snip", "doc_id", "hot").hint("merge"), ["key", "snip", "doc_id"])
+    return whole, stash(named.select("key", "doc_id", "place", "fresh", "hot").union(again.select("key", "doc_id", "place", F.lit(True), "hot")).distinct(), "wanted")
+
+
 def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW, gram: int = GRAM, last: bool = False, hot: int = HOT, upto: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Merge-join a batch with the index: spans (doc_id, begin, end) of copied runs, and runs (key, doc_id, place, fresh, hot) to compare.
 
@@ -278,18 +320,7 @@ def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW,
         F.min(F.struct("doc_id", "place", "fresh")).alias("first"), F.max("fresh").alias("fresh"), F.max("most").alias("most")
     )
     classes = stash(classes, "classes")
-    per_key = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.max("fresh").alias("any_fresh"))
-    copied = classes.where("most > first.doc_id").select("key", "snip", F.col("first.doc_id").alias("holder"))
-    whole = (
-        found.join(copied.hint("merge"), ["key", "snip"]).where("doc_id > holder")
-        .select("doc_id", F.expr("place div 256").alias("begin"), F.expr(f"place div 256 + place % 256 + {window - 1}").alias("end"))
-    )
-    whole = stash(whole, "spans")
-    several = per_key.where("kinds > 1 and any_fresh").select("key", (F.col("kinds") > hot).alias("hot"))
-    named = classes.join(several.hint("merge"), "key").select("key", "snip", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), F.col("first.fresh").alias("fresh"), "hot")
-    # A run that its first document holds twice is looked at in both places.
-    again = found.join(named.where("fresh").select("key", "snip", "doc_id", "hot").hint("merge"), ["key", "snip", "doc_id"])
-    wanted = stash(named.select("key", "doc_id", "place", "fresh", "hot").union(again.select("key", "doc_id", "place", F.lit(True), "hot")).distinct(), "wanted")
+    whole, wanted = _settled(found, classes, window, hot)
     unstash(live, found, classes)
     if last:
         unstash(every)
@@ -298,31 +329,49 @@ def candidates(batch: DataFrame, index: FingerprintIndex, window: int = WINDOW,
     return whole, wanted
 
 
-def verified(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
+def verified(docs: DataFrame, wanted: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """Spans (doc_id, begin, end) of fresh runs' windows that an earlier document's run under the same key holds word by word.
 
     Runs that several batches want are fetched once, and a key that is hot in one batch is hot for all.
     """
 
-    def held(runs: DataFrame, *hints: str) -> DataFrame:
+    def held(runs: DataFrame, moved: bool = False) -> DataFrame:
         lists = runs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "fresh")).alias("wanted"))
-        lists = lists.hint(*hints) if hints else stash(lists, "lists")
+        # Few lists of hot keys' runs are broadcast, so that no text moves for them; for the others texts move as they do for the removal.
+        lists = lists.hint("merge") if moved else stash(lists, "lists")
         return docs.join(lists, "doc_id").select("doc_id", "text", "turn", "wanted")
 
-    once = wanted.groupBy("key", "doc_id", "place").agg(F.max("fresh").alias("fresh"))
-    hot = None
-    if not wanted.where("hot").isEmpty():
-        hot = F.broadcast(wanted.where("hot").select("key").distinct())  # of many runs each
-    texts = mapped(held(once if hot is None else once.join(hot, "key", "left_anti"), "merge"), _snippets(window), "key long, doc_id long, place long, fresh boolean, bytes binary")
-    within = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(window), "doc_id long, begin long, end long")
-    if hot is None:
-        return within
-    # Equal windows of hot keys are counted together before they meet, whatever number of runs holds them. They are written,
-    # since both sides of the join would cut them again; few lists are broadcast, so that no text moves for them.
-    cut = stash(mapped(held(once.join(hot, "key", "left_semi")), _windows(window), "high long, low long, doc_id long, begin long, fresh boolean"), "windows")
+    def by_heat(wanted: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        once = wanted.groupBy("key", "doc_id", "place").agg(F.max("fresh").alias("fresh"))
+        if wanted.where("hot").isEmpty():
+            return once, None
+        keys = F.broadcast(wanted.where("hot").select("key").distinct())  # of many runs each
+        return once.join(keys, "key", "left_anti"), once.join(keys, "key", "left_semi")
+
+    def compared(held: DataFrame) -> DataFrame:
+        texts = mapped(held, _snippets(window), "key long, doc_id long, place long, fresh boolean, bytes binary")
+        return texts.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(window), "doc_id long, begin long, end long")
+
+    cold, several = by_heat(wanted)
+    out = compared(held(cold, moved=True))
+    if several is None:
+        return out
+    # Under longer anchors few of the runs that are alike but for a word meet, and those that do differ near their ends only.
+    found = stash(mapped(held(several), _pieces(window, window - FINE), f"{RUN}, fresh boolean"), "pieces")
+    classes = found.groupBy("key", "snip").agg(
+        F.min(F.struct("doc_id", "place", "fresh")).alias("first"), F.max("fresh").alias("fresh"), F.max(F.when(F.col("fresh"), F.col("doc_id"))).alias("most")
+    )
+    whole, wanted = _settled(found.where("fresh").drop("fresh"), stash(classes, "classes"), window, hot)
+    cold, several = by_heat(wanted)
+    out = out.union(whole).union(compared(held(cold)))
+    if several is None:
+        return out
+    # Equal windows are counted together before they meet, whatever number of runs holds them; they are written, since both
+    # sides of the join would cut them again.
+    cut = stash(mapped(held(several), _windows(window), "high long, low long, doc_id long, begin long, fresh boolean"), "windows")
     first = cut.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max(F.when(F.col("fresh"), F.col("doc_id"))).alias("most")).where("most > first")
     alone = cut.where("fresh").join(first.hint("merge"), ["high", "low"]).where("doc_id > first")
-    return within.union(alone.select("doc_id", "begin", (F.col("begin") + window).alias("end")))
+    return out.union(alone.select("doc_id", "begin", (F.col("begin") + window).alias("end")))
 
 
 def _kept(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -378,7 +427,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches
         asked = history.select("doc_id", "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
         texts = docs.union(with_turn(asked))
     # The texts move once, for the comparison of all batches and for the removal.
-    spans = reduce(DataFrame.union, whole).union(verified(texts, wanted, window))
+    spans = reduce(DataFrame.union, whole).union(verified(texts, wanted, window, hot))
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = docs.join(lists.hint("merge"), "doc_id", "left").select("doc_id", "text", "turn", "spans")
     return mapped(joined, _kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -113,10 +113,30 @@ def test_words_of_hot_keys_are_cut_once(spark, monkeypatch, tmp_path):
         return cut
 
     monkeypatch.setattr(substring_dedup, "_windows", counted)
-    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup_words(df, batches=3, hot=40).collect()}
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup_words(df, batches=3, hot=3).collect()}
     assert got == plain_words([(x.doc_id, x.text) for x in df.collect()])
     rows = np.concatenate([np.load(f) for f in tmp_path.glob("*.npy")], axis=1)
-    assert rows.shape[1] > 1000 and np.unique(rows, axis=1).shape[1] == rows.shape[1]
+    assert rows.shape[1] > 200 and np.unique(rows, axis=1).shape[1] == rows.shape[1]
+
+
+def test_near_copies_meet_by_longer_anchors_first(spark, monkeypatch):
+    """Near copies of a text, more than a key may have, are told apart by longer anchors; few come to single windows."""
+    r = random.Random(8)
+    some = lambda k: [f"w{r.randrange(10_000)}" for _ in range(k)]
+    passage = some(150)
+    rows = [" ".join([*passage[: i % 150], f"x{i}", *passage[i % 150 + 1 :]]) for i in range(200)]
+    df = frame(spark, rows)
+
+    def refused(window):
+        def cut(batch):
+            raise ValueError("near copies came to single windows")
+            yield
+
+        return cut
+
+    monkeypatch.setattr(substring_dedup, "_windows", refused)
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup_words(df, batches=2, hot=60).collect()}
+    assert got == plain_words([(x.doc_id, x.text) for x in df.collect()])
 
 
 @pytest.mark.parametrize("frequent", [0, 2, 8])
